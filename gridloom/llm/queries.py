@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .mixing import op6_mixing
 from .sharding import op3_sharding
+from .simhash import op10_simhash
 
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {}
