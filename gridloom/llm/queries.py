@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import OP9_SQL, op9_decontamination
 from .mixing import op6_mixing
 from .sharding import op3_sharding
 from .simhash import op10_simhash
@@ -9,7 +10,8 @@ from .simhash import op10_simhash
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
+    "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_decontamination": OP9_SQL}
