@@ -6,10 +6,12 @@ from .decontam import OP9_SQL, op9_decontamination
 from .mixing import op6_mixing
 from .sharding import op3_sharding
 from .simhash import op10_simhash
+from .tokens import op8_token_binary
 
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
+    "op8_token_binary": op8_token_binary,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
