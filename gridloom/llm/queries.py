@@ -7,8 +7,10 @@ from .mixing import op6_mixing
 from .sharding import op3_sharding
 from .simhash import op10_simhash
 from .tokens import op8_token_binary
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
     "op8_token_binary": op8_token_binary,
