@@ -15,8 +15,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .common import durable, power_of_two, view
@@ -53,7 +54,7 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id columns as given, fp long): one row for each row of docs; a null text has no words."""
+    """(doc_id, fp): one row for each row of docs; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
     rows = view(docs, doc_id=id_col, text=docs[text_col].cast("binary"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 _masks: dict[tuple[int, int], np.ndarray] = {}
@@ -157,13 +158,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     is never the least unless a component has no other. An empty table gives an empty result.
     """
     rows = durable(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    return rows.join(components(rows), "fp").select("doc_id", "fp", "component_id")
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint among rows (doc_id, fp)."""
     fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     edges = links(fps.select("fp"), fps.count())
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = durable(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return durable(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """docs with one row of each component, all columns kept: the row with the least id (a null id only
+    where there is no other), and among equal ids one of those with the least hash of their text."""
+    named = F.xxhash64(docs[id_col], docs[text_col]), F.xxhash64(F.lit(1), docs[text_col], docs[id_col])
+    who = F.struct(docs[id_col].isNull(), docs[id_col], *named)
+    rows = durable(fingerprints(view(docs, who=who, text=text_col), "who", "text", width), "fingerprints")
+    ids = components(rows)
+    kept = (
+        rows.join(ids, "fp")
+        .groupBy("component_id")
+        .agg(F.min("doc_id").alias("who"))
+        .select(F.col("who.col3").alias("__k1"), F.col("who.col4").alias("__k2"))
+    )
+    one = Window.partitionBy("__k1", "__k2").orderBy(F.lit(0))
+    return (
+        docs.withColumns({"__k1": named[0], "__k2": named[1]})
+        .join(durable(kept, "kept"), ["__k1", "__k2"])
+        .withColumn("__n", F.row_number().over(one))
+        .filter("__n = 1")
+        .select(*docs.columns)
+    )
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
