@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP9_SQL, op9_decontamination
+from .lines import op1_line_dedup
 from .mixing import op6_mixing
 from .sharding import op3_sharding
 from .simhash import op10_simhash
@@ -10,6 +11,7 @@ from .tokens import op8_token_binary
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
