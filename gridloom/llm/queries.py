@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP9_SQL, op9_decontamination
+from .licenses import OP5_SQL, op5_license_scan
 from .lines import op1_line_dedup
 from .mixing import op6_mixing
 from .sharding import op3_sharding
@@ -14,10 +15,11 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op8_token_binary": op8_token_binary,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {"op9_decontamination": OP9_SQL}
+SQL: dict[str, str] = {"op5_license_scan": OP5_SQL, "op9_decontamination": OP9_SQL}
