@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import OP9_SQL, op9_decontamination
 from .licenses import OP5_SQL, op5_license_scan
 from .lines import op1_line_dedup
+from .lm import op7_lm_scoring
 from .mixing import op6_mixing
 from .sharding import op3_sharding
 from .simhash import op10_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_token_binary": op8_token_binary,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
