@@ -7,6 +7,7 @@ from .licenses import OP5_SQL, op5_license_scan
 from .lines import op1_line_dedup
 from .lm import op7_lm_scoring
 from .mixing import op6_mixing
+from .search import OP4_SQL, op4_topk_search
 from .sharding import op3_sharding
 from .simhash import op10_simhash
 from .tokens import op8_token_binary
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_topk_search": op4_topk_search,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op7_lm_scoring": op7_lm_scoring,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {"op5_license_scan": OP5_SQL, "op9_decontamination": OP9_SQL}
+SQL: dict[str, str] = {"op4_topk_search": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_decontamination": OP9_SQL}
