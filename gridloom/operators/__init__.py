@@ -1,0 +1 @@
+"""Array operators on coordinate frames."""

@@ -1,0 +1 @@
+"""Index notation, lowered to joins and aggregations."""

@@ -1,0 +1 @@
+"""Where arrays come from and go to."""

@@ -1,0 +1 @@
+"""Reductions over unbounded input."""
