@@ -22,6 +22,8 @@ from .common import durable, view
 
 #: Labelled rows that voters, label model and classifier are fitted on, about; features of the classifier.
 SAMPLE, FEATURES = 20_000, 4096
+#: A feature's log-likelihood gain over chance at least (twice it is a G statistic: p < 0.005), and the L2 penalty.
+GAIN, PENALTY = 4.0, 1e-4
 #: Mined lexicons of each kind, and the share of labelled documents with an entry that have to be toxic.
 LEXICONS, PRECISE = 12, 0.8
 #: Lengths of the openings of words that are features besides whole words.
@@ -101,7 +103,7 @@ def fit_linear(rows: list[np.ndarray], goal: np.ndarray, n_features: int, rounds
     for t in range(1, rounds + 1):
         z = np.bincount(at, w[col], len(rows)) + b
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - goal) / n
-        g = np.r_[np.bincount(col, off[at], n_features) + 1e-5 * w, off.sum()]
+        g = np.r_[np.bincount(col, off[at], n_features) + PENALTY * w, off.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -161,7 +163,7 @@ def fit(
     term = lambda a, e: F.when(a > 0, a * F.log(a / e)).otherwise(0.0)
     seen = F.col("clean") + F.col("toxic")
     gain = term(F.col("toxic"), seen * share) + term(F.col("clean"), seen * (1 - share + 1e-9))
-    top = counts.orderBy(gain.desc(), "feature").limit(n_features).collect()
+    top = counts.filter(gain >= GAIN).orderBy(gain.desc(), "feature").limit(n_features).collect()
     number = {r["feature"]: i for i, r in enumerate(top)}
     precise = [r["feature"] for r in top if r["toxic"] >= PRECISE * (r["toxic"] + r["clean"])]
     kinds = [[x for x in precise if x.endswith(" ")], [x for x in precise if not x.endswith(" ")]]
