@@ -28,6 +28,8 @@ from .components import connected_components
 SHINGLE, BANDS, ROWS, ALIKE = 8, 14, 4, 0.8
 #: Lines that are compared with each other in memory at a time.
 BLOCK = 512
+#: Lines that a task remembers to have seen.
+REMEMBERED = 1 << 20
 #: Characters that are hashed at a time.
 CHUNK = 1 << 18
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 32, (BANDS * ROWS, 2), np.uint64).astype(np.uint32) | np.uint32(1)
@@ -99,17 +101,25 @@ def _line_id(line: str) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, n_lines, lines) -> a struct for each line that isn't blank, in groups of documents."""
+    """(doc_id, text) -> a struct for each line that isn't blank; keys only where the task first sees the line, so
+    that a line that is everywhere sends its keys once a task."""
     kind = pa.list_(pa.struct([("line_no", pa.int32()), ("line", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+    seen: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts = [(t or "").split("\n") for t in part.column(1).to_pylist()]
             full = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(t) if x.strip()]
-            keys = band_keys([x for _, _, x in full])
             found: list[list] = [[] for _ in texts]
-            for (i, k, x), row in zip(full, keys.tolist()):
-                found[i].append({"line_no": k, "line": _line_id(x), "keys": row})
+            new = []
+            for i, k, x in full:
+                found[i].append({"line_no": k, "line": (line := _line_id(x)), "keys": None})
+                if line not in seen:
+                    new.append((found[i][-1], x))
+                    if len(seen) < REMEMBERED:
+                        seen.add(line)
+            for (row, _), keys in zip(new, band_keys([x for _, x in new]).tolist()):
+                row["keys"] = keys
             cols = [part.column(0), pa.array([len(t) for t in texts], pa.int32()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_lines", "lines"])
 
@@ -135,6 +145,26 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["line"])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, line) in order -> those of buckets with two different lines or more, each once."""
+    held, known = None, False  # the last row so far, and whether its bucket has others before it
+    for batch in batches:
+        b, line = (np.asarray(c) for c in batch.columns)
+        if held is not None:
+            b, line = np.r_[held[0], b], np.r_[held[1], line]
+        if not len(b):
+            continue
+        new = np.r_[True, (b[1:] != b[:-1]) | (line[1:] != line[:-1])]
+        b, line = b[new], line[new]
+        like = b[1:] == b[:-1]
+        shared = np.r_[known if held is not None else False, like] | np.r_[like, False]
+        held, known = (b[-1], line[-1]), bool(shared[-1])
+        keep = shared[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(b[:-1][keep]), pa.array(line[:-1][keep])], ["bucket", "line"])
+    if held is not None and known:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["bucket", "line"])
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple[int, str]]]]:
     """Rows (key..., line, text) sorted by key -> (key, row) one by one."""
     for batch in batches:
@@ -203,11 +233,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _line_links(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
     """Edges (a, b) between different lines, connecting them as all links of similar lines in a bucket do."""
-    distinct = lines.groupBy("line").agg(F.first("keys").alias("keys"))
-    members = distinct.select(F.explode("keys").alias("bucket"), "line")
+    pairs = lines.select(F.explode("keys").alias("bucket"), "line").repartition("bucket")
+    pairs = pairs.sortWithinPartitions("bucket", "line").mapInArrow(_shared, "bucket long, line long")
+    members = durable(pairs, "shared-buckets")
     marks = [F.min("line").alias("least"), F.max("line").alias("most"), F.count("*").alias("n")]
     marks += [F.bit_xor("line").alias("x"), F.bit_xor(F.xxhash64("line")).alias("y")]
-    buckets = members.groupBy("bucket").agg(*marks).filter("n > 1")
+    buckets = members.groupBy("bucket").agg(*marks)
     buckets = buckets.groupBy("least", "most", "n", "x", "y").agg(F.min("bucket").alias("bucket"))
     buckets = durable(buckets.select("bucket", "least", "n"), "line-buckets")
     members = durable(members.join(buckets, "bucket"), "bucket-members")
