@@ -25,7 +25,29 @@ RUN = 50_000
 
 
 def differencing(sizes: Sequence[int], k: int) -> list[int]:
-    """The bin from 0 to k-1 of each size. Ties go by position, so reruns agree."""
+    """The bin from 0 to k-1 of each size. Ties go by position, so reruns agree.
+
+    An item that fills a bin by itself stands alone, in a bin of the highest number left, and the others are
+    differenced over the other bins: a partial partition of such an item would keep the largest spread to the
+    end, and all that follow would be added to it one by one."""
+    alone: dict[int, int] = {}
+    left = sum(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        free = k - len(alone)
+        if free == 1 or sizes[i] * free < left or not sizes[i]:
+            break
+        alone[i] = free - 1
+        left -= sizes[i]
+    if not alone:
+        return _difference(sizes, k)
+    others = [i for i in range(len(sizes)) if i not in alone]
+    out = [alone.get(i, 0) for i in range(len(sizes))]
+    for i, shard in zip(others, _difference([sizes[i] for i in others], k - len(alone))):
+        out[i] = shard
+    return out
+
+
+def _difference(sizes: Sequence[int], k: int) -> list[int]:
     if k == 1:
         return [0] * len(sizes)
     # a partial partition: bins in descending order of size, each with a tree of the items it holds
