@@ -4,7 +4,8 @@ Many voters look at a text: lexicons that are mined from labelled rows (whole wo
 which catch inflected and compounded forms), fixed lexicons, and patterns; the annotators' label is one more
 voter where there is one. A generative label model learns by EM how often each voter says what for either
 class, and how voters of the same class still agree, which discounts those that repeat each other. Its
-posteriors train a logistic regression on openings of words, and that alone scores every whole text.
+posteriors train a logistic regression on openings of words and how often they occur, and that alone scores
+every whole text.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ SAMPLE, FEATURES = 20_000, 4096
 GAIN, PENALTY = 4.0, 1e-4
 #: Mined lexicons of each kind, and the share of labelled documents with an entry that have to be toxic.
 LEXICONS, PRECISE = 12, 0.8
-#: Lengths of the openings of words that are features besides whole words.
-OPENINGS = (3, 4, 5, 6, 7, 8)
+#: Lengths of the openings of words that are features besides whole words, and the counts from which on a further
+#: feature says so: what a clean text has once by chance a toxic one has again and again.
+OPENINGS, TIMES = (3, 4, 5, 6, 7, 8), (2, 3, 5)
+#: Words whose features each task remembers at most.
+REMEMBERED = 200_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 FIXED = {
@@ -41,15 +45,44 @@ _MASKED = re.compile(r"\b[a-zA-Z][*#@$]{2,}[a-zA-Z]?\b")
 _MARKS = re.compile(r"[!?]{2,}")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORDS.findall((text or "").lower()))
+def words_of(text: str | None) -> Counter:
+    return Counter(_WORDS.findall((text or "").lower()))
 
 
-def features(words: set[str]) -> set[str]:
-    """Openings of the words, and the words themselves marked by a space."""
-    out = {w[:n] for n in OPENINGS for w in words if len(w) > n}
-    out.update(w + " " for w in words)
-    return out
+def names_of(word: str) -> list[str]:
+    """Openings of the word, and the word itself marked by a space."""
+    return [word[:n] for n in OPENINGS if len(word) > n] + [word + " "]
+
+
+def features(words: Counter) -> set[str]:
+    """The names of all words, and with a number before them those that occur so often."""
+    seen: Counter = Counter()
+    for word, n in words.items():
+        for name in names_of(word):
+            seen[name] += n
+    return set(seen).union(f"{k}{x}" for x, n in seen.items() if n >= TIMES[0] for k in TIMES if n >= k)
+
+
+class Scorer:
+    """The logit of a text under a model. Looks each word up once a task, so most cost no more than that."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.bias, self.by_name, self.known = bias, {}, {}
+        for x, w in sorted(weights.items()):
+            name = x.lstrip("0123456789")
+            self.by_name.setdefault(name, []).append((int(x[: len(x) - len(name)] or 1), w))
+
+    def __call__(self, text: str | None) -> float:
+        found: dict[str, int] = {}
+        for word, n in words_of(text).items():
+            names = self.known.get(word)
+            if names is None:
+                names = tuple(x for x in names_of(word) if x in self.by_name)
+                if len(self.known) < REMEMBERED:
+                    self.known[word] = names
+            for x in names:
+                found[x] = found.get(x, 0) + n
+        return self.bias + sum(w for x in sorted(found) for k, w in self.by_name[x] if found[x] >= k)
 
 
 def votes(text: str, found: set[str], lexicons: list[frozenset[str]]) -> list[int]:
@@ -58,17 +91,20 @@ def votes(text: str, found: set[str], lexicons: list[frozenset[str]]) -> list[in
     half = max(1, len(out) // 2)
     out += [-int(not any(out[:half])), -int(not any(out[half:]))]
     out += [int(not found.isdisjoint({w + " " for w in x.split()})) for x in FIXED.values()]
-    letters = [c for c in text[: 1 << 16] if c.isalpha()]
-    shouted = sum(c.isupper() for c in letters) > 0.5 * len(letters) > 10
+    capitals, letters = sum(map(str.isupper, text)), sum(map(str.isalpha, text))
+    shouted = capitals > 0.5 * letters > 10
     out += [int(bool(_MASKED.search(text))), int(len(_MARKS.findall(text)) > 3), int(shouted)]
     return out
 
 
-def label_model(table: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
+def label_model(
+    table: np.ndarray, start: np.ndarray, rounds: int = 25, independent: tuple[int, ...] = ()
+) -> tuple[np.ndarray, dict]:
     """Posterior of the toxic class for each row of votes (-1, 0, 1), from a start; and what was learned.
 
     Each voter has a distribution over its votes for either class. How voters vary together within a class
-    gives correlations; a voter's evidence is divided by 1 plus its positive correlations with the others."""
+    gives correlations; a voter's evidence is divided by 1 plus its positive correlations with the others. Voters
+    that are independent, as those who read a text are of those who match words in it, take no part in that."""
     n, m = table.shape
     if not n:
         return np.zeros(0), {"accuracy": np.zeros(m), "correlation": np.zeros((m, m))}
@@ -84,7 +120,9 @@ def label_model(table: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
         spread = residual.std(axis=0) + 1e-9
         correlation = residual.T @ residual / n / np.outer(spread, spread)
         np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.clip(correlation, 0, 1).sum(axis=1))
+        shared = np.clip(correlation, 0, 1)
+        shared[list(independent)] = shared[:, list(independent)] = 0
+        weight = 1 / (1 + shared.sum(axis=1))
         ratio = np.log(theta[1]) - np.log(theta[0])
         logit = np.log(prior / (1 - prior)) + np.einsum("vij,vj->i", said, ratio * weight)
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -184,7 +222,7 @@ def fit(
     said = np.array(seen_rows["votes"].to_pylist(), np.int8).reshape(-1, n_voters - 1)
     truth = np.array(seen_rows["toxic"].to_pylist(), np.int64).reshape(-1) > 0
     table = np.column_stack([said, np.where(truth, 1, -1)]).astype(float)
-    posterior, learned = label_model(table, np.where(truth, 0.9, 0.1))
+    posterior, learned = label_model(table, np.where(truth, 0.9, 0.1), independent=(n_voters - 1,))
     rows = [np.array(x, np.int64) for x in seen_rows["features"].to_pylist()]
     w, b = fit_linear(rows, posterior, len(number))
     return {"weights": {x: float(w[i]) for x, i in number.items() if w[i]}, "bias": b, "label_model": learned}
@@ -193,17 +231,13 @@ def fit(
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): the model's probability that the whole text is toxic; a null text counts as empty.
     One row for each row of docs."""
-    weights, bias = model["weights"], model["bias"]
-    known = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    known = docs.sparkSession.sparkContext.broadcast((model["weights"], model["bias"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = known.value
+        logit = Scorer(*known.value)
         for batch in batches:
-            z = []
-            for text in batch.column(1):
-                found = features(words_of(text.as_py())) & weights.keys()
-                z.append(bias + sum(weights[x] for x in sorted(found)))
-            p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+            z = np.array([logit(text.as_py()) for text in batch.column(1)], float)
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
     rows = view(docs, doc_id=id_col, text=text_col)
@@ -212,17 +246,13 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
 
 def drop_toxic(docs: DataFrame, model: dict, *, at: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text scores at least so much; all their columns stay."""
-    weights, bias = model["weights"], model["bias"]
-    known = docs.sparkSession.sparkContext.broadcast((weights, bias, float(np.log(at / (1 - at)))))
-    position = docs.columns.index(text_col)
+    known = docs.sparkSession.sparkContext.broadcast((model["weights"], model["bias"]))
+    bar, position = float(np.log(at / (1 - at))), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, bar = known.value
+        logit = Scorer(*known.value)
         for batch in batches:
-            keep = []
-            for text in batch.column(position):
-                found = features(words_of(text.as_py())) & weights.keys()
-                keep.append(bias + sum(weights[x] for x in sorted(found)) < bar)
+            keep = [logit(text.as_py()) < bar for text in batch.column(position)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
