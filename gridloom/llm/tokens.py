@@ -16,14 +16,19 @@ that writing follows Spark's commit protocol and any store that Spark reaches wi
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +37,10 @@ from .common import scratch_path, view
 
 #: Ids in a segment at most, but for a single longer document.
 SEGMENT_IDS = 1 << 22
-#: Words whose ids each Python worker remembers at most.
-REMEMBERED = 400_000
+#: Words whose ids each Python worker remembers at most; words encoded in one call; characters of texts at a time.
+REMEMBERED, TOGETHER, CHUNK = 400_000, 2048, 1 << 23
+#: Marks that often follow a word.
+MARKS = tuple(".,;:!?")
 _HEAD = "<4sHHQQQq"
 _PART = "<QQB7xQQQ"
 _RATE = 256
@@ -140,47 +147,126 @@ class Segment:
         return self.ids[start:end]
 
 
-class _Ids(dict):
-    """The stored ids of a word between spaces; remembers a bounded number of words."""
+class Encoder:
+    """The stored ids of texts: little-endian unsigned integers of so many bytes.
+
+    A tokenizer that marks the ends of words, drops white space and never joins across it has each word between
+    spaces encoded once, and remembers a bounded number of them; any other encodes text by text. Such a tokenizer
+    folds case letter by letter, which in Latin-1 is str.lower(). A text with the opening of a special token is
+    encoded as it is, as folding could make one."""
+
+    def __init__(self, tokenizer, width: int):
+        self.tokenizer, self.kind = tokenizer, np.dtype(f"<u{width}")
+        self.known: dict[str, bytes] = {}
+        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+        self.openings = tuple({x.content[:2] for x in tokenizer.get_added_tokens_decoder().values()})
+        parts = ["One", "two", ",", "three", "."]
+        self.by_word = bool(suffix) and self._ids("One \n two,  three.") == [i for x in parts for i in self._ids(x)]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.kind).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.whole(x) for x in texts]
+        special = {i for i, x in enumerate(texts) if any(o in x for o in self.openings)}
+        folded = pa.array(["" if i in special else _folded(x).replace("\n", " ") for i, x in enumerate(texts)], pa.large_string())
+        words = pc.split_pattern(folded, " ")
+        each = words.flatten().dictionary_encode()
+        parts = self._parts(each.dictionary.to_pylist())
+        # the stored ids of all words in a row, from those of each different one
+        ids = np.frombuffer(b"".join(parts), self.kind)
+        size = np.array([len(x) for x in parts], np.int64) // self.kind.itemsize
+        at = np.asarray(each.indices)
+        taken = size[at]
+        ends = np.cumsum(taken)
+        out = ids[np.repeat((np.cumsum(size) - size)[at] - (ends - taken), taken) + np.arange(taken.sum())]
+        bounds = np.concatenate([[0], ends])[np.asarray(words.offsets)].tolist()
+        return [self.whole(texts[i]) if i in special else out[a:b].tobytes() for i, (a, b) in enumerate(pairwise(bounds))]
+
+    def _parts(self, words: list[str]) -> list[bytes]:
+        """The ids of different words. Letters and a mark that follows them are separate tokens."""
+        out = list(map(self.known.get, words))
+        odd, plain = [], []
+        for i, part in enumerate(out):
+            if part is None:
+                word = words[i]
+                letters = word[:-1] if word[-1:] in MARKS else word
+                if _only_letters(letters):
+                    plain.append((i, letters))
+                else:
+                    odd.append(i)
+        new = {x: self.known.get(x) for _, x in plain}
+        letters = [x for x, part in new.items() if part is None]
+        for k in range(0, len(letters), TOGETHER):
+            new |= self._together(letters[k : k + TOGETHER])
+        for i, x in plain:
+            out[i] = new[x] if words[i] == x else new[x] + self._mark(words[i][-1])
+        for i, x in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
+            out[i] = np.array(x.ids, self.kind).tobytes()
+        free = max(0, REMEMBERED - len(self.known))
+        self.known |= {words[i]: out[i] for i in sorted([*odd, *(i for i, _ in plain)])[:free]}
+        return out
 
-    def __init__(self, encode, kind: str):
-        super().__init__()
-        self.encode, self.kind = encode, kind
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.known:
+            self.known[mark] = self.whole(mark)
+        return self.known[mark]
 
-    def __missing__(self, word: str) -> bytes:
-        # letters and the mark that follows them are separate tokens
-        if len(word) > 1 and word[-1] in ".,;:!?" and word[:-1].isalpha():
-            out = self[word[:-1]] + self[word[-1]]
-        else:
-            out = np.array(self.encode(word), self.kind).tobytes()
-        if len(self) < REMEMBERED:
-            self[word] = out
-        return out
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters alone in one call. Each has one token that ends a word, and so shows where to cut."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return {w: self.whole(w) for w in words}
+        data, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        return {w: data[a * size : b * size] for w, a, b in zip(words, [0, *ends.tolist()], ends.tolist())}
+
+
+def _folded(text: str) -> str:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
-def _encoder(path: str, width: int) -> _Ids:
+def _only_letters(word: str) -> bool:
+    """Whether it is of letters, and stays so when its characters are composed and folded."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
+def _encoder(path: str, width: int) -> Encoder:
     """The worker's own tokenizer, kept from task to task."""
     from tokenizers import Tokenizer
 
     kept = sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept")).__dict__
     if ("ids", path, width) not in kept:
-        tokenizer = Tokenizer.from_file(path)
-        kept["ids", path, width] = _Ids(lambda w: tokenizer.encode(w, add_special_tokens=False).ids, f"<u{width}")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
+        kept["ids", path, width] = Encoder(Tokenizer.from_file(path), width)
     return kept["ids", path, width]
 
 
-def encode_text(ids: _Ids, text: str, whole: bool = False) -> bytes:
-    """The ids of a text. The tokenizer drops white space and never joins across it, so each word between
-    spaces is encoded once. It folds case letter by letter, which in Latin-1 is str.lower(). A text with a
-    special token's opening may hold one with a space in it, and is encoded whole."""
-    if whole or "<|" in text:
-        return np.array(ids.encode(text), ids.kind).tobytes()
-    try:
-        text.encode("latin-1")
-        text = text.lower()
-    except UnicodeEncodeError:
-        pass
-    return b"".join(map(ids.__getitem__, text.replace("\n", " ").split(" ")))
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of so many characters together, or of one longer text."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            t = t.as_py() or ""
+            if texts and size + len(t) > CHUNK:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(d)
+            texts.append(t)
+            size += len(t) + 1
+    if texts:
+        yield ids, texts
 
 
 def write_tokens(
@@ -204,7 +290,7 @@ def write_tokens(
     end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _encoder(tokenizer, width)
+        encoder = _encoder(tokenizer, width)
         task, number = TaskContext.get().partitionId(), 0
         doc_ids: list = []
         parts: list[bytes] = []
@@ -218,9 +304,9 @@ def write_tokens(
                 [pa.array(c, k) for c, k in zip(cols, kinds)], ["task", "number", "n_docs", "n_ids", "blob"]
             )
 
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = encode_text(ids, t.as_py() or "") + end
+        for ids, texts in _chunks(batches):
+            for d, part in zip(ids, encoder.encode(texts)):
+                part += end
                 if parts and size + len(part) > segment_ids * width:
                     yield segment()
                     doc_ids, parts, size, number = [], [], 0, number + 1

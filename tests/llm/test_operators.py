@@ -354,7 +354,7 @@ def test_token_files(spark, docs, corpus, none, tmp_path):
 
     path = public.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    extra = [(600, "Don't STOP!! it's 12,5 <|endoftext|> é É é İstanbul ΣΑΣ x\u0085y  z", None), (601, "tab\tand\x0bvt 🙂,. a.b. C++", None)]
+    extra = [(600, "Don't STOP!! it's 12,5 <|endoftext|> é É é İstanbul ΣΑΣ x\u0085y  z", None), (602, "\u0958. Q\u0958, \u0130. \u00c5\u0327.", None), (601, "tab\tand\x0bvt 🙂,. a.b. C++", None)]
     rows = [(d, x) for d, x, _ in corpus + extra]
     both = docs.select("doc_id", "text").union(spark.createDataFrame([(d, x) for d, x, _ in extra], "doc_id long, text string"))
     for name, size in (("a", tokens.SEGMENT_IDS), ("b", 64)):
@@ -367,6 +367,11 @@ def test_token_files(spark, docs, corpus, none, tmp_path):
             crc = zlib.crc32(np.array(ids, "<u4").tobytes())
             assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"], r["ids_crc32"]) == (d, at, len(ids), ids, crc)
             at += len(ids)
+    other = public.path("byte_bpe_50k.json")  # spaces are part of its tokens
+    tokens.write_tokens(both, str(tmp_path / "c"), other)
+    b = Tokenizer.from_file(other)
+    got = tokens.read_tokens(spark, str(tmp_path / "c")).orderBy("start").collect()
+    assert [r["ids"] for r in got] == [b.encode(x or "", add_special_tokens=False).ids + [1] for _, x in order]
     blob = spark.read.parquet(str(tmp_path / "b")).orderBy("task", "number").first()["blob"]
     s = tokens.Segment(bytes(blob))
     assert s.document(0).tolist() == t.encode(order[0][1] or "", add_special_tokens=False).ids + [1]
