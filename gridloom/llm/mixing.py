@@ -20,7 +20,7 @@ from .common import SPACE_WORDS, durable, power_of_two, view
 #: Passes over a source at most.
 PASSES = 2
 #: Documents whose words are summed in one task at a time, about.
-RUN = 20_000
+RUN = 2_000
 #: Bins of the histograms that find the cut, and rows that may be sorted on the driver at the end of it.
 BINS, LAST_ROWS = 65_536, 10_000
 
