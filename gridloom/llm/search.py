@@ -1,11 +1,15 @@
 """Exact top-k search: BM25 over an inverted index in shards, with block-max pruning.
 
-Each task packs its documents into shards of a bounded number of postings, without moving them. A shard keeps,
-for each term, its postings by document; the stretch of a term's postings that falls into a block of 64 documents
-is an entry with its greatest impact. For a query the entries' maxima, weighted by the global idf, sum to a bound
-for each block, and blocks are scored in descending order of it until the k-th best score so far, which a task
-carries from shard to shard, exceeds what is left: the dynamic pruning of block-max WAND, a block of documents at a
-time. N, document frequencies and the average length are those of all documents, so the shards' lists merge exactly.
+Each task packs its documents into shards of a bounded number of postings, without moving them. Within a shard they
+are ordered by their most frequent term and length, so that a block of 64 documents is of one kind. A shard keeps, for
+each term, its postings by document; the stretch of a term's postings that falls into a block is an entry with its
+greatest impact. For a query the entries' maxima, weighted by the global idf, sum to a bound for each block. The
+blocks of greatest bound are scored first, and then those whose bound reaches the k-th best score so far, which a task
+carries from shard to shard: the dynamic pruning of block-max WAND, a block of documents at a time. N, document
+frequencies and the average length are those of all documents, so the shards' lists merge exactly.
+
+Terms in a good part of a shard's documents are kept as rows of a matrix; their part of the bounds and of the scores
+is a matrix product over the queries that a task takes together.
 
 Queries go in blocks of bounded size, each broadcast and run against all shards. Only terms that occur in some
 query are indexed (a bit map of bounded size tells); terms are known by a 64-bit hash.
@@ -26,6 +30,9 @@ from .decontam import Words, _bit_map, _inside, chunks
 K1, B = 1.2, 0.75
 #: Documents in a block; postings in a shard and query terms in a query block, about.
 BLOCK, POSTINGS, QUERY_TERMS = 64, 1 << 22, 1 << 20
+#: Queries that are run together; blocks of each that are scored first; a term in at least 1 of so many documents has a
+#: row in the matrix, which has so many cells at most.
+TOGETHER, FIRST, COMMON, CELLS = 64, 2, 12, 1 << 23
 #: Scores are compared and reported to so many decimals; equal ones go by document id.
 DECIMALS = 6
 _NONE = np.iinfo(np.int64).max
@@ -45,10 +52,20 @@ def _term_counts(w: Words, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndar
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, w in chunks(batches):
-        text, term, _ = _term_counts(w, None)
+        text, term, count = _term_counts(w, None)
         bounds = np.searchsorted(text, np.arange(len(ids) + 1))
         terms = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(term.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), terms], ["query_id", "terms"])
+        top = pa.array(_top_terms(text, term, count, len(ids)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), top, terms], ["query_id", "top", "terms"])
+
+
+def _top_terms(text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """The most frequent term of each of n texts, of least hash among equals; 0 if it has none."""
+    order = np.lexsort((term, -count, text))
+    out = np.zeros(n, np.uint64)
+    has, first = np.unique(text[order], return_index=True)
+    out[has] = term[order][first]
+    return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch], bits: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
@@ -57,6 +74,9 @@ def _shards(batches: Iterator[pa.RecordBatch], bits: np.ndarray, most: int) -> I
 
     def shard() -> pa.RecordBatch:
         ids, lengths, doc, term, count = (np.concatenate(x) for x in zip(*held))
+        kind = np.lexsort((lengths, _top_terms(doc, term, count, len(ids))))  # documents of a kind side by side
+        ids, lengths, place = ids[kind], lengths[kind], np.argsort(kind)
+        doc = place[doc]
         order = np.lexsort((doc, term))
         doc, term, count = doc[order], term[order], count[order]
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
@@ -98,36 +118,76 @@ class Shard:
         self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.entry = np.searchsorted(slot[first], np.arange(len(self.terms) + 1))
         self.n_blocks = -(-n_shard_docs // BLOCK)
+        freqs = np.asarray(freqs, np.int64)
+        common = np.flatnonzero(freqs * COMMON >= n_shard_docs)
+        common = common[np.argsort(-freqs[common], kind="stable")][: CELLS // max(1, n_shard_docs)]
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        row = self.row[slot]
+        self.matrix = np.zeros((len(common), n_shard_docs))
+        self.matrix[row[row >= 0], self.docs[row >= 0]] = self.impact[row >= 0]
+        starts = np.arange(0, n_shard_docs, BLOCK)
+        self.matrix_most = np.maximum.reduceat(self.matrix, starts, axis=1) if n_shard_docs else self.matrix
 
     def search(self, slots: np.ndarray, weights: np.ndarray, best: list, k: int) -> tuple[list, int]:
-        """best, as (-rounded score, id) in order, with the documents of this shard taken in; blocks scored."""
+        """:meth:`search_all` of one query."""
+        found, scored = self.search_all(np.zeros(len(slots), np.int64), slots, weights, [best], k)
+        return found[0], scored
+
+    def search_all(self, query: np.ndarray, slots: np.ndarray, weights: np.ndarray, best: list[list], k: int) -> tuple[list[list], int]:
+        """best of each query, as (-rounded score, id) in order, with the documents of this shard taken in; and how
+        many blocks were scored. Each (query, slot, weight) is a term of a query that the shard has."""
+        n, n_docs, row = len(best), len(self.ids), self.row[slots]
+        dense = np.zeros((n, len(self.matrix)))
+        dense[query[row >= 0], row[row >= 0]] = weights[row >= 0]
+        used = np.flatnonzero(dense.any(axis=0))
+        dense, matrix = dense[:, used], self.matrix[used]
+        query, slots, weights = query[row < 0], slots[row < 0], weights[row < 0]
         count = self.entry[slots + 1] - self.entry[slots]
-        entries, w = _expand(self.entry[slots], count), np.repeat(weights, count)
-        block = self.block[entries]
-        bound = np.bincount(block, w * self.most[entries], self.n_blocks) + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 1e-9]
-        at, step = 0, 4
-        while at < len(order):
-            least = -best[-1][0] - 0.5 * 10**-DECIMALS if len(best) == k else 0.0
-            take = order[at : at + step]
-            take = take[bound[take] >= least]
-            if not len(take):
-                break
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[take] = True
-            keep = chosen[block]
-            e, length = entries[keep], self.length[entries[keep]]
-            postings = _expand(self.start[e], length)
-            score = np.bincount(self.docs[postings], np.repeat(w[keep], length) * self.impact[postings], len(self.ids))
-            found = np.flatnonzero(score > 0)
-            if len(found) > k:
-                bar = np.partition(score[found], len(found) - k)[len(found) - k]
-                found = found[score[found] >= bar - 2 * 10**-DECIMALS]
-            near = zip((-np.round(score[found], DECIMALS)).tolist(), self.ids[found].tolist())
-            best = sorted([*best, *near])[:k]
-            at, step = at + step, step * 2
-        return best, at
+        entry, weight, query = _expand(self.entry[slots], count), np.repeat(weights, count), np.repeat(query, count)
+        cell = query * self.n_blocks + self.block[entry]
+        bound = np.bincount(cell, weight * self.most[entry], n * self.n_blocks).reshape(n, -1)
+        bound += dense @ self.matrix_most[used]
+        bound[bound > 0] += 1e-9
+
+        def take(chosen: np.ndarray) -> None:
+            """Scores the chosen (query, block) pairs."""
+            blocks = np.flatnonzero(chosen.any(axis=0))
+            if not len(blocks):
+                return
+            docs = _expand(blocks * BLOCK, np.minimum(BLOCK, n_docs - blocks * BLOCK))
+            keep = chosen.ravel()[cell]
+            e, length = entry[keep], self.length[entry[keep]]
+            posting = _expand(self.start[e], length)
+            at = np.repeat(query[keep], length) * n_docs + self.docs[posting]
+            score = np.bincount(at, np.repeat(weight[keep], length) * self.impact[posting], n * n_docs).reshape(n, -1)[:, docs]
+            if 4 * chosen.sum() > n * len(blocks):  # most pairs are wanted: one product
+                score += dense @ (matrix if len(docs) == n_docs else matrix[:, docs])
+            else:
+                for q in np.flatnonzero(chosen.any(axis=1)):
+                    mine = np.repeat(chosen[q, blocks], np.minimum(BLOCK, n_docs - blocks * BLOCK))
+                    terms = np.flatnonzero(dense[q])
+                    score[q, mine] += dense[q, terms] @ matrix[np.ix_(terms, docs[mine])]
+            score[~np.repeat(chosen[:, blocks], np.minimum(BLOCK, n_docs - blocks * BLOCK), axis=1)] = 0
+            for q in np.flatnonzero(chosen.any(axis=1)):
+                bar = -best[q][-1][0] - 0.5 * 10**-DECIMALS if len(best[q]) == k else 0.0
+                found = np.flatnonzero((score[q] >= bar) & (score[q] > 0))
+                if len(found) > k:
+                    least = np.partition(score[q, found], len(found) - k)[len(found) - k]
+                    found = found[score[q, found] >= least - 2 * 10**-DECIMALS]
+                near = zip((-np.round(score[q, found], DECIMALS)).tolist(), self.ids[docs[found]].tolist())
+                best[q] = sorted([*best[q], *near])[:k]
+
+        best = list(best)
+        order = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, order, True, axis=1)
+        least = lambda: np.array([-b[-1][0] - 0.5 * 10**-DECIMALS if len(b) == k else 0.0 for b in best])[:, None]
+        first &= (bound > 0) & (bound >= least())
+        take(first)
+        rest = ~first & (bound > 0) & (bound >= least())
+        take(rest)
+        return best, int(first.sum() + rest.sum())
 
 
 def search(
@@ -151,7 +211,7 @@ def search(
     """
     spark = docs.sparkSession
     asked = view(queries, id=queries[query_id_col].cast("long"), text=queries[query_text_col].cast("binary"))
-    asked = asked.mapInArrow(_queries, "query_id long, terms array<long>").filter(F.size("terms") > 0)
+    asked = asked.mapInArrow(_queries, "query_id long, top long, terms array<long>").filter(F.size("terms") > 0)
     asked = durable(asked.withColumn("row", F.monotonically_increasing_id()), "queries")
     wanted = asked.select(F.explode("terms").alias("term")).distinct()
     bits = spark.sparkContext.broadcast(_bit_map(wanted, wanted.count()))
@@ -173,9 +233,9 @@ def search(
     freqs = freqs.agg(F.sum("x.freqs").alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = (
-        asked.select("row", "query_id", F.explode("terms").alias("term"))
+        asked.select("row", "query_id", "top", F.explode("terms").alias("term"))
         .join(freqs, "term")
-        .groupBy("row", "query_id")
+        .groupBy("row", "query_id", "top")
         .agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("terms"))
     )
     # query blocks: consecutive rows with so many terms in sum; the sums are taken by partition, then over partitions
@@ -187,11 +247,11 @@ def search(
     starts = spark.createDataFrame(list(before.items()), "part int, before long")
     upto = F.sum(F.size("terms")).over(Window.partitionBy("part").orderBy("row"))
     blocks = weighted.join(starts, "part").withColumn("block", F.floor((F.col("before") + upto - 1) / query_terms).cast("int"))
-    blocks = durable(blocks.select("block", "row", "query_id", "terms"), "query-blocks")
+    blocks = durable(blocks.select("block", "row", "query_id", "top", "terms"), "query-blocks")
 
     out = None
     for number in range(-(-at // query_terms)):
-        table = blocks.filter(F.col("block") == number).orderBy("row").select("row", "query_id", "terms.term", "terms.idf").toArrow()
+        table = blocks.filter(F.col("block") == number).orderBy("top", "row").select("row", "query_id", "terms.term", "terms.idf").toArrow()
         if not table.num_rows:
             continue
         flat = lambda name: table[name].combine_chunks()  # noqa: B023, E731
@@ -215,10 +275,12 @@ def search(
                         continue
                     slot = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
                     there = shard.terms[slot] == terms
-                    for q in range(len(rows)):
-                        mine = slice(bounds[q], bounds[q + 1])
-                        here = there[mine]
-                        best[q], _ = shard.search(slot[mine][here], weights[mine][here], best[q], k)
+                    for q in range(0, len(rows), TOGETHER):
+                        to = min(q + TOGETHER, len(rows))
+                        at = np.arange(bounds[q], bounds[to])
+                        at = at[there[at]]
+                        which = np.searchsorted(bounds[q : to + 1], at, "right") - 1
+                        best[q:to], _ = shard.search_all(which, slot[at], weights[at], best[q:to], k)
             found = [(int(rows[q]), int(ids[q]), None if d == _NONE else d, -s) for q, b in enumerate(best) for s, d in b]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             cols = [pa.array(c, t) for c, t in zip(zip(*found) if found else ((),) * 4, kinds)]
