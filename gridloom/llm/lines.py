@@ -5,9 +5,10 @@ bucket, and there the exact Jaccard similarity of their shingle sets decides whi
 the links, found by distributed union-find, keep their first line in order of document and line.
 
 Only hashes are shuffled until buckets of two or more different lines are known; the texts of those lines
-alone are fetched then. Buckets with the same members are verified once. A large bucket is never gathered:
-its members are first held against its least line, and those not linked to it, in blocks of bounded size,
-against all members, which pass by one at a time.
+alone are fetched then. Buckets with the same members are verified once. Lines are first held against the least
+line of each of their buckets; only in buckets that this leaves unconnected are the others compared. A large
+bucket is never gathered: the lines outside its largest component so far, in blocks of bounded size, are held
+against all of its lines, which pass by one at a time.
 """
 
 from __future__ import annotations
@@ -172,23 +173,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
 
 
 def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, line, text) sorted by bucket: links that connect each bucket as all its links do."""
-    bucket, held, out = None, [], []  # held: [root, line, shingles]
-    for b, line, text in _groups(batches):
+    """Rows (bucket, line, root, text) sorted by bucket: links between roots that connect each bucket as all its
+    links do. Lines of one root are connected already."""
+    bucket, held, out = None, [], []  # held: [group, root, shingles]
+    for b, _, root, text in _groups(batches):
         if b != bucket:
             bucket, held = b, []
-        mine, root = shingles(text), len(held)
+        mine = shingles(text)
+        group = next((g for g, r, _ in held if r == root), root)
         joined = set()
-        for r, other, theirs in reversed(held):
-            if r not in joined and alike(mine, theirs):
-                joined.add(r)
-                out.append((line, other))
+        for g, other, theirs in held:
+            if g != group and g not in joined and alike(mine, theirs):
+                joined.add(g)
+                out.append((root, other))
         if joined:
-            root = min(joined)
             for x in held:
                 if x[0] in joined:
-                    x[0] = root
-        held.append([root, line, mine])
+                    x[0] = group
+        held.append([group, root, mine])
         if len(out) > 10_000:
             yield _edges(out)
             out = []
@@ -196,20 +198,21 @@ def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, block, order, line, text) sorted so: those with order 0 are the block, the others pass by."""
-    at, held, out = None, [], []
-    for b, block, order, line, text in _groups(batches):
+    """Rows (bucket, block, order, root, text) sorted so: those with order 0 are the block, the others pass by.
+    Links between different roots."""
+    at, held, out = None, [], set()
+    for b, block, order, root, text in _groups(batches):
         if (b, block) != at:
             at, held = (b, block), []
         mine = shingles(text)
         if order == 0:
-            held.append((line, mine))
+            held.append((root, mine))
         else:
-            out += [(line, other) for other, theirs in held if other != line and alike(mine, theirs)]
+            out.update((root, other) for other, theirs in held if other != root and (root, other) not in out and alike(mine, theirs))
         if len(out) > 10_000:
-            yield _edges(out)
-            out = []
-    yield _edges(out)
+            yield _edges(list(out))
+            out = set()
+    yield _edges(list(out))
 
 
 def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -218,21 +221,23 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, line, least, text, least's text) -> (bucket, line, least, linked)."""
+    """Rows (line, least, text, least's text) -> (a, b) of those that are alike."""
+    last: tuple[int | None, set] = (None, set())
     for batch in batches:
-        last: tuple[int, set] = (0, set())
         out = []
-        for line, least, text, other in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-            if not last[1] or last[0] != least:
+        for line, least, text, other in zip(*(c.to_pylist() for c in batch.columns)):
+            if last[0] != least:
                 last = least, shingles(other)
-            out.append(line == least or alike(shingles(text), last[1]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.bool_())], ["bucket", "line", "least", "linked"]
-        )
+            if alike(shingles(text), last[1]):
+                out.append((line, least))
+        yield _edges(out)
+
 
+def _line_roots(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
+    """(line, root) of the lines that are connected with others by links of similar lines in a bucket.
 
-def _line_links(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
-    """Edges (a, b) between different lines, connecting them as all links of similar lines in a bucket do."""
+    First each line is held against the least line of each of its buckets, a pair once however many buckets it
+    shares. Buckets whose lines are not connected by that are compared in full, between what isn't connected."""
     pairs = lines.select(F.explode("keys").alias("bucket"), "line").repartition("bucket")
     pairs = pairs.sortWithinPartitions("bucket", "line").mapInArrow(_shared, "bucket long, line long")
     members = durable(pairs, "shared-buckets")
@@ -244,30 +249,49 @@ def _line_links(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
     members = durable(members.join(buckets, "bucket"), "bucket-members")
     texts = durable(_texts_of(view(docs, text="text"), members.select("line").distinct()), "bucket-texts")
 
-    small = members.filter(F.col("n") <= block).join(texts, "line").select("bucket", "line", "text")
+    pairs = members.filter("line != least").select("line", "least").distinct()
+    least = texts.select(F.col("line").alias("least"), F.col("text").alias("least_text"))
+    pairs = pairs.join(texts, "line").join(least, "least").select("line", "least", "text", "least_text")
+    roots = connected_components(pairs.mapInArrow(_linked, "a long, b long"))
+    roots = durable(roots.withColumnRenamed("node", "line"), "line-roots")
+
+    members = members.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
+    members = durable(members.select("bucket", "line", "root", "n"), "rooted-members")
+    open_ = members.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1")
+    rest = durable(members.join(open_.select("bucket"), "bucket"), "open-buckets")
+    small = rest.filter(F.col("n") <= block).join(texts, "line").select("bucket", "line", "root", "text")
     edges = small.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(_compare_small, "a long, b long")
-
-    large = members.filter(F.col("n") > block)
+    large = rest.filter(F.col("n") > block)
     if not large.isEmpty():
-        least = texts.select(F.col("line").alias("least"), F.col("text").alias("least_text"))
-        rows = large.join(texts, "line").join(least, "least").select("bucket", "line", "least", "text", "least_text")
-        seen = durable(rows.mapInArrow(_linked, "bucket long, line long, least long, linked boolean"), "large-buckets")
-        rest = seen.filter("not linked").withColumn(
-            "block",
-            F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("line")) - 1) / block).cast("int"),
-        )
-        blocks = rest.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
-        passing = seen.join(blocks, "bucket").select(
-            "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("order"), "line"
-        )
-        pairs = rest.select("bucket", "block", F.lit(0).alias("order"), "line").union(passing).join(texts, "line")
-        edges = edges.union(seen.filter("linked").select(F.col("line").alias("a"), F.col("least").alias("b"))).union(
-            pairs.select("bucket", "block", "order", "line", "text")
-            .repartition("bucket", "block")
-            .sortWithinPartitions("bucket", "block", "order")
-            .mapInArrow(_compare_block, "a long, b long")
-        )
-    return edges
+        edges = edges.union(_large_links(large, texts, block))
+    joined = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    every = roots.select("root").union(joined.select("root")).distinct().select(F.col("root").alias("line"), "root")
+    every = roots.union(every).dropDuplicates(["line"])
+    return every.join(joined, "root", "left").select("line", F.coalesce("last", "root").alias("root"))
+
+
+def _large_links(large: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Links between the roots of large buckets' rows (bucket, line, root): all rows pass by blocks of those that
+    aren't of the bucket's most frequent root, as of any link one end is not."""
+    counts = large.groupBy("bucket", "root").agg(F.count("*").alias("rows"))
+    most = counts.groupBy("bucket").agg(F.max_by("root", F.struct("rows", "root")).alias("most"))
+    order = Window.partitionBy("bucket").orderBy("line")
+    apart = large.join(most, "bucket").filter("root != most")
+    apart = durable(
+        apart.withColumn("block", F.floor((F.row_number().over(order) - 1) / block).cast("int")).select("bucket", "block", "line", "root"),
+        "line-blocks",
+    )
+    blocks = apart.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
+    passing = large.join(blocks, "bucket").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("order"), "line", "root"
+    )
+    both = apart.select("bucket", "block", F.lit(0).alias("order"), "line", "root").union(passing).join(texts, "line")
+    return (
+        both.select("bucket", "block", "order", "root", "text")
+        .repartition("bucket", "block")
+        .sortWithinPartitions("bucket", "block", "order")
+        .mapInArrow(_compare_block, "a long, b long")
+    )
 
 
 def find_kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -282,10 +306,10 @@ def find_kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("n_lines int, lines array<struct<line_no:int,line:bigint,keys:array<bigint>>>").fields])
     scanned = durable(rows.mapInArrow(_scan, kind).withColumn("row", F.monotonically_increasing_id()), "lines")
     lines = scanned.select("doc_id", "row", F.inline("lines"))
-    roots = connected_components(_line_links(rows, lines.select("line", "keys"), block))
+    roots = durable(_line_roots(rows, lines.select("line", "keys"), block), "all-line-roots")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line_no")
     first = lines.groupBy("line").agg(F.min(place).alias("place"))
-    first = first.join(roots.withColumnRenamed("node", "line"), "line", "left")
+    first = first.join(roots, "line", "left")
     kept = first.groupBy(F.coalesce("root", "line").alias("root")).agg(F.min("place").alias("place"))
     kept = kept.groupBy("place.row").agg(F.collect_list("place.line_no").alias("numbers"))
     blank = F.expr(
