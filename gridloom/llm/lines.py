@@ -83,8 +83,7 @@ def _band_keys(lines: list[str]) -> np.ndarray:
     buffer = np.empty(n, np.uint32)
     for i, (a, b) in enumerate(_FACTORS):
         np.multiply(h, a, out=buffer)
-        np.bitwise_xor(buffer, b, out=buffer)
-        np.multiply(buffer, b, out=buffer)
+        np.add(buffer, b, out=buffer)
         least[:, i] = np.minimum.reduceat(buffer, bounds)[::2]
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
@@ -104,24 +103,30 @@ def _line_id(line: str) -> int:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> a struct for each line that isn't blank; keys only where the task first sees the line, so
     that a line that is everywhere sends its keys once a task."""
-    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("line", pa.int64()), ("keys", pa.list_(pa.int64()))]))
     seen: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts = [(t or "").split("\n") for t in part.column(1).to_pylist()]
-            full = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(t) if x.strip()]
-            found: list[list] = [[] for _ in texts]
+            full = [[(k, x) for k, x in enumerate(t) if x.strip()] for t in texts]
+            numbers = [k for t in full for k, _ in t]
+            lines = [x for t in full for _, x in t]
+            ids = [_line_id(x) for x in lines]
             new = []
-            for i, k, x in full:
-                found[i].append({"line_no": k, "line": (line := _line_id(x)), "keys": None})
+            for i, line in enumerate(ids):
                 if line not in seen:
-                    new.append((found[i][-1], x))
+                    new.append(i)
                     if len(seen) < REMEMBERED:
                         seen.add(line)
-            for (row, _), keys in zip(new, band_keys([x for _, x in new]).tolist()):
-                row["keys"] = keys
-            cols = [part.column(0), pa.array([len(t) for t in texts], pa.int32()), pa.array(found, kind)]
+            fresh = np.zeros(len(ids), bool)
+            fresh[new] = True
+            bounds = pa.array(np.cumsum([0, *np.where(fresh, BANDS, 0)]), pa.int32())
+            keys = pa.ListArray.from_arrays(bounds, pa.array(band_keys([lines[i] for i in new]).ravel()), mask=pa.array(~fresh))
+            rows = pa.StructArray.from_arrays(
+                [pa.array(numbers, pa.int32()), pa.array(ids, pa.int64()), keys], ["line_no", "line", "keys"]
+            )
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, full)]), pa.int32()), rows)
+            cols = [part.column(0), pa.array([len(t) for t in texts], pa.int32()), found]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_lines", "lines"])
 
 
@@ -256,7 +261,8 @@ def _line_roots(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
     roots = durable(roots.withColumnRenamed("node", "line"), "line-roots")
 
     members = members.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
-    members = durable(members.select("bucket", "line", "root", "n"), "rooted-members")
+    # pairs with the least line are settled
+    members = durable(members.filter("n > 2 and line != least").select("bucket", "line", "root", "n"), "rooted-members")
     open_ = members.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1")
     rest = durable(members.join(open_.select("bucket"), "bucket"), "open-buckets")
     small = rest.filter(F.col("n") <= block).join(texts, "line").select("bucket", "line", "root", "text")
