@@ -30,9 +30,9 @@ from .decontam import Words, _bit_map, _inside, chunks
 K1, B = 1.2, 0.75
 #: Documents in a block; postings in a shard and query terms in a query block, about.
 BLOCK, POSTINGS, QUERY_TERMS = 64, 1 << 22, 1 << 20
-#: Queries that are run together; blocks of each that are scored first; a term in at least 1 of so many documents has a
-#: row in the matrix, which has so many cells at most.
-TOGETHER, FIRST, COMMON, CELLS = 64, 2, 12, 1 << 23
+#: Queries that are run together, while their terms have so many postings in a shard; blocks of each that are scored
+#: first; a term in at least 1 of so many documents has a row in the matrix, which has so many cells at most.
+TOGETHER, WORK, FIRST, COMMON, CELLS = 64, 1 << 20, 2, 12, 1 << 22
 #: Scores are compared and reported to so many decimals; equal ones go by document id.
 DECIMALS = 6
 _NONE = np.iinfo(np.int64).max
@@ -123,6 +123,7 @@ class Shard:
         common = common[np.argsort(-freqs[common], kind="stable")][: CELLS // max(1, n_shard_docs)]
         self.row = np.full(len(self.terms), -1)
         self.row[common] = np.arange(len(common))
+        self.rare = np.where(self.row < 0, freqs, 0)
         row = self.row[slot]
         self.matrix = np.zeros((len(common), n_shard_docs))
         self.matrix[row[row >= 0], self.docs[row >= 0]] = self.impact[row >= 0]
@@ -275,12 +276,16 @@ def search(
                         continue
                     slot = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
                     there = shard.terms[slot] == terms
-                    for q in range(0, len(rows), TOGETHER):
-                        to = min(q + TOGETHER, len(rows))
+                    spent = np.concatenate([[0], np.cumsum(np.where(there, shard.rare[slot], 0))])[bounds]
+                    q = to = 0
+                    while q < len(rows):
+                        to = int(np.searchsorted(spent, spent[q] + WORK, "right")) - 1
+                        to = max(q + 1, min(to, q + TOGETHER, len(rows)))
                         at = np.arange(bounds[q], bounds[to])
                         at = at[there[at]]
                         which = np.searchsorted(bounds[q : to + 1], at, "right") - 1
                         best[q:to], _ = shard.search_all(which, slot[at], weights[at], best[q:to], k)
+                        q = to
             found = [(int(rows[q]), int(ids[q]), None if d == _NONE else d, -s) for q, b in enumerate(best) for s, d in b]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             cols = [pa.array(c, t) for c, t in zip(zip(*found) if found else ((),) * 4, kinds)]
