@@ -32,7 +32,7 @@ K1, B = 1.2, 0.75
 BLOCK, POSTINGS, QUERY_TERMS = 64, 1 << 22, 1 << 20
 #: Queries that are run together, while their terms have so many postings in a shard; blocks of each that are scored
 #: first; a term in at least 1 of so many documents has a row in the matrix, which has so many cells at most.
-TOGETHER, WORK, FIRST, COMMON, CELLS = 64, 1 << 20, 2, 12, 1 << 22
+TOGETHER, WORK, FIRST, COMMON, CELLS = 64, 1 << 18, 2, 12, 1 << 21
 #: Scores are compared and reported to so many decimals; equal ones go by document id.
 DECIMALS = 6
 _NONE = np.iinfo(np.int64).max
