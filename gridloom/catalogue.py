@@ -300,6 +300,13 @@ def reduce_product(spark, sf_dir):
     return df.groupBy("p_size").agg(F.round(reduce.fold("product", 1 + F.col("p_partkey") % 3), 6).alias("v"))
 
 
+@query("select p_size, round(sum(ln(1 + p_partkey % 3)), 6) ln_v from part group by p_size")
+def reduce_product_whole(spark, sf_dir):
+    """The product over all parts, as the sum of its logarithms, which can't overflow."""
+    ln = F.log((1 + F.col("p_partkey") % 3).cast("double"))
+    return _table(spark, sf_dir, "part").groupBy("p_size").agg(F.round(reduce.fold("sum", ln), 6).alias("ln_v"))
+
+
 @query("""with s as (select l_orderkey k, sum(cast(round(l_extendedprice * 100) as bigint)) / 100.0::double y from lineitem group by 1)
 select round(avg(case when greatest(abs(o_totalprice), abs(y)) = 0 then 0 else abs(o_totalprice - y) / greatest(abs(o_totalprice), abs(y)) end), 8) mean_relative_error,
   round(avg(abs(o_totalprice - y)), 4) mean_absolute_error from orders join s on o_orderkey = k""")
@@ -390,6 +397,24 @@ def gemm_part_supp(spark, sf_dir):
     return _named(linalg.gemm(views.transpose(m), m), "s", "t", "v")
 
 
+def _by_blocks(a: NDFrame, b: NDFrame) -> NDFrame:
+    """The product of integer matrices by dense blocks, exact while every sum stays below 2 ** 53."""
+    edge = linalg.block_edge(*a.shape, *b.shape)
+    made = linalg.from_blocks(linalg.gemm_blocks(linalg.to_blocks(a, edge), linalg.to_blocks(b, edge)))
+    return made.map(lambda v: v.cast("long"))
+
+
+@query("""with m as (select l_partkey % 500 p, l_suppkey s, cast(sum(cast(l_quantity as bigint)) as bigint) v from lineitem group by all)
+select a.s s, b.s t, cast(sum(a.v * b.v) as bigint) v from m a join m b using (p) group by all""")
+def gemm_part_supp_whole(spark, sf_dir):
+    """All suppliers against all; quantities are positive, so pairs without a part in common are the zeros."""
+    df = _table(spark, sf_dir, "lineitem").filter("l_partkey is not null and l_suppkey is not null")
+    top = df.agg(F.max("l_suppkey")).first()[0]
+    cells = df.groupBy((F.col("l_partkey") % 500).alias("i0"), F.col("l_suppkey").alias("i1")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
+    m = NDFrame(cells, (500, (top if top is not None else -1) + 1), sparse=True)
+    return _named(_by_blocks(views.transpose(m), m).df.filter("v != 0"), "s", "t", "v")
+
+
 @query("select a.j p, b.j q, round(cast(sum(a.v * b.v) as double), 3) v from X a join X b using (i) group by all")
 def gemm_blocks(spark, sf_dir):
     x = _x(spark, sf_dir).cast("double")
