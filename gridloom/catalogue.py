@@ -81,6 +81,11 @@ def enumerate_cells(spark, sf_dir):
     return views.slice_(_x(spark, sf_dir), slice(0, 10)).enumerate()
 
 
+@query("select i * 64 + j as position, v from X")
+def enumerate_cells_whole(spark, sf_dir):
+    return _x(spark, sf_dir).enumerate()
+
+
 @query("select i, j, case when i between 1 and 4 and j between 8 and 71 then -v else v end v from (select i, j, v from X)")
 def copy_from(spark, sf_dir):
     x = _x(spark, sf_dir)
@@ -158,6 +163,11 @@ def slice_reversed(spark, sf_dir):
     return _named(views.slice_(_x(spark, sf_dir), slice(0, 20), slice(None, None, -1)), "i", "j", "v")
 
 
+@query("select i, 63 - j j, v from X")
+def slice_reversed_whole(spark, sf_dir):
+    return _named(views.slice_(_x(spark, sf_dir), slice(None), slice(None, None, -1)), "i", "j", "v")
+
+
 @query("select i - 5 i, j - 7 j, v from X where i >= 5 and j >= 7")
 def sub_matrix(spark, sf_dir):
     return _named(views.sub_matrix(_x(spark, sf_dir), 5, 7), "i", "j", "v")
@@ -175,12 +185,24 @@ def concat(spark, sf_dir):
     return _named(views.concat([x, x.map(lambda v: v * 2)]), "i", "j", "v")
 
 
+@query("select * from (select i, j, v from X union all select i + n, j, 2 * v from X, (select max(i) + 1 n from X))")
+def concat_whole(spark, sf_dir):
+    x = _x(spark, sf_dir)
+    return _named(views.concat([x, x.map(lambda v: v * 2)]), "i", "j", "v")
+
+
 @query("select k as n, i, j, v from X, range(3) t(k) where i < 20")
 def broadcast_view(spark, sf_dir):
     x = views.slice_(_x(spark, sf_dir), slice(0, 20))
     return _named(views.broadcast_to(x, (3, 20, 64)), "n", "i", "j", "v")
 
 
+@query("select k as n, i, j, v from X, range(3) t(k)")
+def broadcast_view_whole(spark, sf_dir):
+    x = _x(spark, sf_dir)
+    return _named(views.broadcast_to(x, (3, *x.shape)), "n", "i", "j", "v")
+
+
 @query()
 def morton_order(spark, sf_dir):
     return views.morton_order(_x(spark, sf_dir))
@@ -369,6 +391,12 @@ def gemm_xxt_slice(spark, sf_dir):
     return _named(linalg.gemm(half, views.transpose(half)), "p", "q", "v")
 
 
+@query("select a.i // 2 p, b.i // 2 q, cast(sum(a.v * b.v) as bigint) v from X a join X b using (j) where a.i % 2 = 0 and b.i % 2 = 0 group by all")
+def gemm_xxt_slice_whole(spark, sf_dir):
+    half = views.slice_(_x(spark, sf_dir), slice(None, None, 2))
+    return _named(_by_blocks(half, views.transpose(half)), "p", "q", "v")
+
+
 @query("select p, q, 2 * s + 3 * c.v v from (select a.j p, b.j q, cast(sum(a.v * b.v) as bigint) s from X a join X b using (i) group by all) join (select i p, j q, v from X) c using (p, q)")
 def gemm_alpha_beta(spark, sf_dir):
     x = _x(spark, sf_dir)
@@ -431,6 +459,13 @@ def gemm_chain(spark, sf_dir):
     return _named(linalg.chain(x, views.transpose(x), x), "i", "q", "v")
 
 
+@query("""with g as (select a.j p, b.j q, cast(sum(a.v * b.v) as bigint) v from X a join X b using (i) group by all)
+select x.i i, g.q q, cast(sum(x.v * g.v) as bigint) v from X x join g on x.j = g.p group by all""")
+def gemm_chain_whole(spark, sf_dir):
+    x = _x(spark, sf_dir)
+    return _named(linalg.chain(x, views.transpose(x), x), "i", "q", "v")
+
+
 # ---- convolution
 
 _KERNEL3 = [[1, 2, -1], [0, 1, 0], [-2, 1, 3]]
@@ -543,9 +578,9 @@ def cumsum_long(spark, sf_dir):
     return sampling.cumsum_long(df, "o_orderkey", "v", 1000).select("o_orderkey", "cdf")
 
 
-def _searchsorted(spark, sf_dir, left: bool) -> DataFrame:
+def _searchsorted(spark, sf_dir, left: bool, which: str = "i1 % 8 = 0") -> DataFrame:
     x = sampling.cumsum(_x(spark, sf_dir).map(F.abs).df, ["i0"], "i1", "v")
-    probes = x.filter("i1 % 8 = 0").select("i0", F.col("i1").alias("id"), (F.col("i1") * 77 + F.col("v")).alias("p"))
+    probes = x.filter(which).select("i0", F.col("i1").alias("id"), (F.col("i1") * 77 + F.col("v")).alias("p"))
     return sampling.searchsorted(x, probes, ["i0"], "cdf", "p", left).select(F.col("i0").alias("i"), "id", "position")
 
 
@@ -564,6 +599,21 @@ def searchsorted_right(spark, sf_dir):
     return _searchsorted(spark, sf_dir, False)
 
 
+def _searchsorted_whole_sql(op: str) -> str:
+    return f"""with c as (select i, j, abs(v) v, sum(abs(v)) over (partition by i order by j) cdf from X)
+select p.i i, p.j id, count(c.cdf) as position from (select i, j, j * 77 + v p from c) p left join c on c.i = p.i and c.cdf {op} p.p group by all"""
+
+
+@query(_searchsorted_whole_sql("<"))
+def searchsorted_left_whole(spark, sf_dir):
+    return _searchsorted(spark, sf_dir, True, "true")
+
+
+@query(_searchsorted_whole_sql("<="))
+def searchsorted_right_whole(spark, sf_dir):
+    return _searchsorted(spark, sf_dir, False, "true")
+
+
 @query("""with c as (select i, j, sum(abs(v)) over (partition by i order by j) cdf, sum(abs(v)) over (partition by i) total from X)
 select i, min(j) j from c where cdf > (i % 97) / 97.0::double * total group by i""")
 def multinomial_invcdf(spark, sf_dir):
@@ -660,6 +710,12 @@ def einsum_matmul(spark, sf_dir):
     return _named(E.einsum("ij,kj->ik", x, x), "p", "q", "v")
 
 
+@query("select a.i p, b.i q, cast(sum(a.v * b.v) as bigint) v from X a join X b using (j) group by all")
+def einsum_matmul_whole(spark, sf_dir):
+    x = _x(spark, sf_dir).cast("double")  # exact below 2 ** 53
+    return _named(E.einsum("ij,kj->ik", x, x).map(lambda v: v.cast("long")), "p", "q", "v")
+
+
 @query("select i, cast(sum(v) as bigint) v from X where j // 8 = j % 8 group by i")
 def einsum_trace(spark, sf_dir):
     return _named(E.einsum("nii->n", _x(spark, sf_dir, 8, 8)), "i", "v")

@@ -3,7 +3,13 @@
 import math
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from gridloom import catalogue
+from gridloom.operators import linalg
+from gridloom.plans import einsum as E
+from gridloom.sources.arrays import to_tensor
 
 
 def test_products_read_every_part_and_supplier(spark, tmp_path):
@@ -28,3 +34,50 @@ def test_products_read_every_part_and_supplier(spark, tmp_path):
     got = {r["p_size"]: r["ln_v"] for r in catalogue.QUERIES["reduce_product_whole"](spark, str(tmp_path)).collect()}
     assert got.keys() == logs.keys() and all(abs(got[k] - logs[k]) < 1e-5 for k in logs)
     assert max(got.values()) > 710  # beyond what a double holds as a product
+
+
+N = 130
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """The quantised values of N vectors, more than any of the slices takes, and the folder of their table."""
+    folder = tmp_path_factory.mktemp("vectors")
+    x = np.random.default_rng(3).integers(-2000, 2000, (N, 64))
+    rows = [(i, (v / 1024).tolist(), i % 10) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return x, str(folder)
+
+
+def _cells(y):
+    return {(*map(int, at), int(v)) for at, v in np.ndenumerate(y)}
+
+
+def test_queries_read_every_vector(spark, vectors):
+    x, folder = vectors
+    cdf = np.cumsum(abs(x), axis=1)
+    probes = np.arange(64) * 77 + abs(x)
+    want = {
+        "enumerate_cells_whole": {(k, int(v)) for k, v in enumerate(x.ravel())},
+        "slice_reversed_whole": _cells(x[:, ::-1]),
+        "concat_whole": _cells(np.concatenate([x, 2 * x])),
+        "broadcast_view_whole": _cells(np.stack([x] * 3)),
+        "gemm_xxt_slice_whole": _cells(x[::2] @ x[::2].T),
+        "gemm_chain_whole": _cells(x @ x.T @ x),
+        "einsum_matmul_whole": _cells(x @ x.T),
+        "searchsorted_left_whole": _cells(np.array([np.searchsorted(c, p, "left") for c, p in zip(cdf, probes)])),
+        "searchsorted_right_whole": _cells(np.array([np.searchsorted(c, p, "right") for c, p in zip(cdf, probes)])),
+    }
+    for name, cells in want.items():
+        got = [tuple(int(v) for v in r) for r in catalogue.QUERIES[name](spark, folder).collect()]
+        assert len(got) == len(cells) and set(got) == cells, name
+
+
+@pytest.mark.parametrize("spec", ["ij,jk->ik", "ij,kj->ik", "ji,jk->ki", "ij,kj->ki"])
+def test_large_products_in_index_notation_go_by_blocks(spark, monkeypatch, spec):
+    monkeypatch.setattr(E, "DENSE_OPS", 1)
+    monkeypatch.setattr(linalg, "DENSE_OPS", 1)
+    a, b = np.arange(25.0).reshape(5, 5), np.arange(25.0).reshape(5, 5) ** 2
+    made = E.einsum(spec, to_tensor(spark, a.tolist(), "double"), to_tensor(spark, b.tolist(), "double"))
+    assert "MapInArrow" in made.df._jdf.queryExecution().toString()
+    assert (made.to_numpy() == np.einsum(spec, a, b)).all()
