@@ -8,11 +8,13 @@ masked positions in minibatches of numpy arithmetic, and the weights they end wi
 The output is a two-level softmax: a token's class given its context, and the token given class and context,
 classes being runs of the vocabulary in order of frequency. That costs two products with 64 columns for a token
 in place of one with 4096, and the probabilities still sum to 1. Words outside the vocabulary share a token by
-their length.
+their length; each also has a probability of its own within that token, letter by letter, so that the probabilities
+of all words, of which there is no end, sum to 1 at most.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +38,10 @@ ROUNDS, MASKED, TRAINERS = 3, 4, 4096
 #: Positions in a minibatch, in training and in scoring.
 BATCH, SCORED = 4096, 8192
 RATE = 0.1
+#: Letters and pairs of letters that the spelling of rare words counts; weight of a letter's frequency against pairs.
+LETTERS, PAIRS, SMOOTH = 4096, 1 << 16, 32.0
+#: Code points, among which letters that were not counted are equally likely; rare words remembered in a worker.
+CODE_POINTS, REMEMBERED = 0x110000, 1 << 16
 _TOKENS = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_")
 
 
@@ -56,9 +62,49 @@ class Vocabulary:
         self.counts[RARE : RARE + len(kept)] = [n for _, n in kept]
 
 
+class Spelling:
+    """P(word | the token for rare words of its length): each letter given the one before it, by counted pairs mixed
+    with the letters' frequencies. The last token's words are of any length from RARE on, by a geometric law.
+
+    Words of the vocabulary have a share too, so over the rare words alone the sum is below 1."""
+
+    def __init__(self, pairs: list[tuple[str, str, int]], letters: list[tuple[str, int]], total: int, long: int, excess: int):
+        after: Counter = Counter()
+        for before, _, n in pairs:
+            after[before] += n
+        scale = total + (len(letters) + 1) / 2
+        share = {c: (n + 0.5) / scale for c, n in letters}
+        other = (total - sum(n for _, n in letters) + 0.5) / scale / CODE_POINTS
+        self.letters, self.other = {c: math.log(p) for c, p in share.items()}, math.log(other)
+        self.back = {b: math.log(SMOOTH / (n + SMOOTH)) for b, n in after.items()}
+        self.pairs = {b + c: math.log((n + SMOOTH * share.get(c, other)) / (after[b] + SMOOTH)) for b, c, n in pairs}
+        stop = (long + 1) / (long + excess + 2)
+        self.stop, self.more = math.log(stop), math.log(1 - stop)
+        self.seen: dict[str, float] = {}
+
+    def log_probability(self, word: str) -> float:
+        if (known := self.seen.get(word)) is not None:
+            return known
+        out, before = 0.0, ""  # nothing stands before the first letter
+        for c in word:
+            p = self.pairs.get(before + c)
+            out += p if p is not None else self.letters.get(c, self.other) + self.back.get(before, 0.0)
+            before = c
+        if len(word) >= RARE:
+            out += self.stop + (len(word) - RARE) * self.more
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        self.seen[word] = out
+        return out
+
+
 def encode(ids: dict[str, int], text: str | None) -> list[int]:
+    return _ids(ids, tokens_of(text))
+
+
+def _ids(ids: dict[str, int], words: list[str]) -> list[int]:
     get = ids.get
-    return [i if (i := get(w)) is not None else min(len(w), RARE) - 1 for w in tokens_of(text)]
+    return [i if (i := get(w)) is not None else min(len(w), RARE) - 1 for w in words]
 
 
 def initial(vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
@@ -185,8 +231,42 @@ def _masked(batches: Iterator[pa.RecordBatch], known: dict[str, int], seed: int)
         yield from flush(texts)
 
 
-def count_words(docs: DataFrame, text_col: str) -> tuple[list[tuple[str, int]], int]:
-    """The most frequent words of all documents with their counts, and the count of all words."""
+def _spelling(rare: DataFrame) -> Spelling:
+    """From all words (word, n) outside the vocabulary. The most frequent letters and pairs reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def flush():
+            before, letter = zip(*seen) if seen else ((), ())
+            cols = [pa.array(before, pa.string()), pa.array(letter, pa.string()), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(cols, ["before", "letter", "n"])
+
+        for batch in batches:
+            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                before = ""
+                for c in word:
+                    seen[before, c] += n
+                    before = c
+                if len(seen) > 200_000:
+                    yield flush()
+        yield flush()
+
+    pairs = rare.mapInArrow(run, "before string, letter string, n long").groupBy("before", "letter").agg(F.sum("n").alias("n"))
+    pairs = pairs.persist()
+    letters = pairs.groupBy("letter").agg(F.sum("n").alias("n"))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    top = [tuple(r) for r in letters.orderBy(F.desc("n"), "letter").limit(LETTERS).collect()]
+    two = [tuple(r) for r in pairs.orderBy(F.desc("n"), "before", "letter").limit(PAIRS).collect()]
+    pairs.unpersist()
+    over = F.length("word") - RARE
+    long, excess = rare.filter(over >= 0).agg(F.sum("n"), F.sum(F.col("n") * over)).first()
+    return Spelling(two, top, total, long or 0, excess or 0)
+
+
+def count_words(docs: DataFrame, text_col: str) -> tuple[list[tuple[str, int]], int, Spelling]:
+    """The most frequent words of all documents with their counts, the count of all words, and how the others are spelt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -204,11 +284,13 @@ def count_words(docs: DataFrame, text_col: str) -> tuple[list[tuple[str, int]],
         yield flush()
 
     counts = view(docs, text=text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.persist()  # two reads; recomputed if an executor is lost
+    counts = counts.persist()  # several reads; recomputed if an executor is lost
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
+    known = docs.sparkSession.createDataFrame([(r["word"],) for r in top], "word string")
+    spelling = _spelling(counts.join(F.broadcast(known), "word", "left_anti").select("word", "n"))
     counts.unpersist()
-    return [(r["word"], r["n"]) for r in top], total
+    return [(r["word"], r["n"]) for r in top], total, spelling
 
 
 def _pack(w: dict) -> np.ndarray:
@@ -224,10 +306,11 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, seed: int = 0) -> dict:
-    """{vocabulary, weights}, from all documents. Null and empty texts teach nothing; without any words the
-    weights are the initial ones. Only averages of weights and the vocabulary, both of fixed size, reach the driver."""
+    """{vocabulary, weights, spelling}, from all documents. Null and empty texts teach nothing; without any words the
+    weights are the initial ones. Only averages of weights, the vocabulary and pairs of letters, all of bounded size, reach the driver."""
     spark = docs.sparkSession
-    vocabulary = Vocabulary(*count_words(docs, text_col))
+    counted, total, spelling = count_words(docs, text_col)
+    vocabulary = Vocabulary(counted, total)
     weights = initial(vocabulary, seed)
     pieces = 16
     for turn in range(rounds):
@@ -260,12 +343,18 @@ def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, seed:
             flat = np.concatenate([np.frombuffer(r["data"], np.float64) for r in sorted(got, key=lambda r: r["piece"])])
             weights = _unpack(flat, weights)
         known.unpersist()
-    return {"vocabulary": vocabulary, "weights": weights}
-
-
-def score_texts(texts: list[str | None], words: dict[str, int], w: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and pseudo-log-likelihood of each text."""
-    coded = [encode(words, t) for t in texts]
+    return {"vocabulary": vocabulary, "weights": weights, "spelling": spelling}
+
+
+def score_texts(
+    texts: list[str | None], words: dict[str, int], w: dict, spelling: Spelling | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and pseudo-log-likelihood of each text; without a spelling, of the tokens that rare words share."""
+    split = [tokens_of(t) for t in texts]
+    coded = [_ids(words, t) for t in split]
+    own = np.zeros(len(texts))
+    if spelling is not None:
+        own[:] = [sum(spelling.log_probability(x) for x, i in zip(t, c) if i < RARE) for t, c in zip(split, coded)]
     sizes = np.array([len(t) for t in coded], np.int64)
     ids = _padded(coded)
     total = np.zeros(len(ids) - 2 * SIDE)
@@ -278,20 +367,20 @@ def score_texts(texts: list[str | None], words: dict[str, int], w: dict) -> tupl
     sums = np.concatenate([[0.0], np.cumsum(total)])
     # without the pads at the front, a text starts after the texts and pads before it
     start = np.cumsum(sizes + SIDE) - sizes - SIDE
-    return sizes, sums[start + sizes] - sums[start]
+    return sizes, sums[start + sizes] - sums[start] + own
 
 
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean): one row for each row of docs. Null and empty texts have no
     tokens, a sum of 0 and a null mean. Whole texts are scored."""
-    known = docs.sparkSession.sparkContext.broadcast((model["vocabulary"].ids, model["weights"]))
+    known = docs.sparkSession.sparkContext.broadcast((model["vocabulary"].ids, model["weights"], model["spelling"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, w = known.value
+        known_words = known.value
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                n, total = score_texts(part.column(1).to_pylist(), words, w)
+                n, total = score_texts(part.column(1).to_pylist(), *known_words)
                 cols = [part.column(0), pa.array(n), pa.array(np.where(n > 0, total, 0.0))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "log_likelihood"])
 

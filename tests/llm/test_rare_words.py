@@ -1,0 +1,41 @@
+"""Words outside the vocabulary have probabilities of their own."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from gridloom.llm import lm
+
+from .conftest import make
+
+
+def test_spelling_sums_to_one_at_most():
+    pairs = [("", "a", 40), ("", "b", 9), ("a", "b", 30), ("b", "a", 12), ("a", "a", 3)]
+    s = lm.Spelling(pairs, [("a", 55), ("b", 39)], 94, 4, 10)
+    other = np.exp(s.other) * lm.CODE_POINTS
+    assert np.exp(s.letters["a"]) + np.exp(s.letters["b"]) + other == pytest.approx(1)
+    for n in (1, 2, 3):
+        # all words of n letters, those with letters that were not counted left out
+        p = sum(np.exp(s.log_probability("".join(w))) for w in itertools.product("ab", repeat=n))
+        assert 0.5 < p < 1
+    assert s.log_probability("ab") > s.log_probability("aa") > s.log_probability("zz")
+    lengths = sum(np.exp(s.stop + k * s.more) for k in range(2000))
+    assert lengths == pytest.approx(1)
+
+
+def test_random_letters_score_below_rare_words_of_the_language(spark):
+    rng = random.Random(1)
+    syllables = "ba be bi bo bu ka ke ki ko ku la le li lo lu ra re ri ro ru".split()
+    word = lambda: "".join(rng.choices(syllables, k=3))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(200)]
+    model = lm.fit(make(spark, [(i, t, "s") for i, t in enumerate(texts)]), rounds=1)
+    ids = model["vocabulary"].ids
+    rare = [w for w in dict.fromkeys(" ".join(texts).split()) if w not in ids][:40]
+    junk = ["".join(rng.choices("bcdfghjkmpqvwxyz", k=6)) for _ in rare]
+    asked = make(spark, [(1, " ".join(rare), "s"), (2, " ".join(junk), "s")])
+    got = {r["doc_id"]: r for r in lm.score(asked, model).collect()}
+    # one token stands for both, so only their letters tell them apart
+    assert lm.encode(ids, " ".join(rare)) == lm.encode(ids, " ".join(junk)) == [5] * len(rare)
+    assert got[1]["n_tokens"] == got[2]["n_tokens"] == len(rare) and got[1]["mean"] > got[2]["mean"] + 3
