@@ -200,3 +200,21 @@ NOTICES: list[tuple[str, str]] = [
     ("all-rights-reserved", "All rights reserved."),
     ("CC0-1.0", "This work is released into the public domain."),
 ]
+
+#: Digest of the canonical form of a full text -> licence, for texts too long to give here (those of Debian's
+#: common-licenses).
+DIGESTS: dict[str, str] = {
+    "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e": "Apache-2.0",
+    "de5e8896b763918701eb91e7bf8bf81f20a97c9f8dd1cacc44519e47d3462bf8": "Artistic-1.0-Perl",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f": "GFDL-1.2",
+    "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1": "GPL-2.0",
+    "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f": "GPL-3.0",
+    "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135": "LGPL-2.0",
+    "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "1aa0a43a3c08988f252eca070027f3381bee0c3772f5ea248ca44b04b2724cf1": "MPL-1.1",
+    "383594bdce0c728972216e9a2472728e1ce0ac4e0e983e80b237c67270d2ef1f": "MPL-2.0",
+}

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, TEXTS
+from .license_texts import DIGESTS, NOTICES, TEXTS
 
 #: Lines about copyright alone: they differ from copy to copy.
 COPYRIGHT = r"(?m)^[ \t#*/;-]*(?:copyright\b|\(c\) |©)[^\n]*$"
@@ -64,9 +64,10 @@ def scan_licenses(
     text_col: str = "text",
     texts: list[tuple[str, str]] = TEXTS,
     notices: list[tuple[str, str]] = NOTICES,
+    digests: dict[str, str] = DIGESTS,
 ) -> DataFrame:
     """(doc_id, digest, license, notices): for each row of docs the SHA-256 of its canonical text, the licence
-    that its whole text is (null: none), and the licences that a line of it is a notice of, sorted.
+    that its whole text is by texts or digests (null: none), and the licences that a line of it is a notice of, sorted.
 
     Null texts count as empty; an empty canonical form is no licence. Rows repeated are kept, any id goes, an
     empty table gives an empty result. A text that equals a licence and also holds a notice has both.
@@ -82,7 +83,7 @@ def scan_licenses(
         F.sha2(canonical(text), 256).alias("digest"),
         F.array_sort(F.array_distinct(F.array_compact(said))).alias("notices"),
     )
-    known = spark.createDataFrame(sorted(_digests(texts).items()), "digest string, license string")
+    known = spark.createDataFrame(sorted((digests | _digests(texts)).items()), "digest string, license string")
     return rows.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license", "notices")
 
 
