@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, power_of_two, view
@@ -134,6 +134,24 @@ def _inside(bit_map: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bit_map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+def apart(docs: DataFrame, keys: list[Column], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two: the rows whose first key is surely not among the longs in wanted, where they are and as they are,
+    and the others as (keys, row). A bit map of bounded size tells them apart, so that only the latter have to be
+    shuffled for an exact decision; with more keys than it has bits those are all rows."""
+    known = docs.sparkSession.sparkContext.broadcast(_bit_map(wanted, wanted.count()))
+    named = docs.select(*keys, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+
+    def split(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = _inside(known.value, np.asarray(batch.column(0)).view(np.uint64))
+                yield batch.filter(pa.array(found == inside))
+
+        return named.mapInArrow(run, named.schema)
+
+    return split(False).select("row.*"), split(True)
+
+
 def candidates(w: Words, short: list[int], marks: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int]]:
     """(first word, number of words) of the spans that the bit maps leave."""
     grams, whole = w.grams(GRAM), w.whole(SPAN)
@@ -232,12 +250,16 @@ def find_overlaps(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least_items: int = 1, **how) -> DataFrame:
-    """docs without those in which spans of at least so many items occur, all their columns kept. Rows with
-    the same id are kept or dropped together; rows with a null id are judged together too."""
+    """docs without those in which spans of at least so many items occur, all their columns kept. A single item of
+    fewer than SPAN words is no evidence by itself: then a second item or a full span has to occur too. Rows with
+    the same id are kept or dropped together; rows with a null id are judged together too. Null and empty texts
+    stay, repeated rows stay repeated; without items all rows stay."""
     id_col = how.get("id_col", "doc_id")
-    bad = find_overlaps(docs, benchmark, **how).filter(F.size("items") >= least_items)
+    full = F.exists("spans", lambda s: s["k"] >= SPAN)
+    bad = find_overlaps(docs, benchmark, **how).filter((F.size("items") >= least_items) & (full | (F.size("items") > 1)))
     bad = durable(bad.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    outside, inside = apart(docs, [F.xxhash64(docs[id_col]).alias("k1")], bad.select(F.xxhash64("__bad")))
+    return outside.union(inside.join(bad, inside["row"][id_col].eqNullSafe(bad["__bad"]), "left_anti").select("row.*"))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

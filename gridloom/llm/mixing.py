@@ -4,13 +4,16 @@ Each source is a queue of its documents in shuffled order, followed by a second
 A document's virtual finish time is the queue's words up to and with it, divided by the source's
 target. All queues are served by virtual finish time until the budget is used. What a source gives is
 a prefix of its queue, so the decision is a cut per source, and whether a document is taken follows
-from its own columns.
+from its own columns. Equal rows are numbered first, and each number has a place of its own in the queue.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,8 @@ PASSES = 2
 RUN = 2_000
 #: Bins of the histograms that find the cut, and rows that may be sorted on the driver at the end of it.
 BINS, LAST_ROWS = 65_536, 10_000
+#: Sources at most: their sizes and targets are held on the driver and sent to the tasks.
+MOST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[int], budget: Fraction, most: int = PASSES) -> list[Fraction]:
@@ -44,9 +49,9 @@ def targets(sizes: list[int], weights: list[int], budget: Fraction, most: int =
     return [x or Fraction(0) for x in out]
 
 
-def queue_key(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> Column:
-    """Place in the shuffled queue: a non-negative hash of id, text and source."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[id_col], docs[text_col], docs[source_col]), 1)
+def same_key(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> Column:
+    """A hash of id, text and source, which rows that are equal in them share."""
+    return F.xxhash64(F.lit(seed), docs[id_col], docs[text_col], docs[source_col])
 
 
 def words_in(text: Column) -> Column:
@@ -67,21 +72,28 @@ def plan_mix(
     the queue of their source, and one row for each source with its cuts.
 
     Sources go by code point, null last, and weigh the given weights in turn; the list of sources is held
-    on the driver, the documents never. Null texts have no words. Sources without words get nothing.
-    Equal rows share a place and so a decision. An empty table gives empty results.
+    on the driver, the documents never, and more than MOST_SOURCES are refused. Null texts have no words. Sources
+    without words get nothing. Rows repeated are documents of their own: how many of them are taken is the same in
+    each run. An empty table gives empty results.
     """
-    spark = docs.sparkSession
-    rows = durable(
-        view(
-            docs,
-            doc_id=id_col,
-            source=source_col,
-            size=words_in(docs[text_col]),
-            place=queue_key(docs, id_col, text_col, source_col, seed),
-        ),
-        "mix-rows",
+    narrow = view(
+        docs,
+        doc_id=id_col,
+        source=source_col,
+        size=words_in(docs[text_col]),
+        key=same_key(docs, id_col, text_col, source_col, seed),
     )
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    return _plan(narrow.withColumn("row", F.monotonically_increasing_id()), weights, share)
+
+
+def _plan(narrow: DataFrame, weights: tuple[int, ...], share: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (doc_id, source, size, key, row), row being a number that tells them apart."""
+    spark = narrow.sparkSession
+    rows = durable(_placed(durable(narrow, "mix-input")), "mix-rows")
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    sums = found.limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in sums]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], share * sum(sizes))
@@ -105,6 +117,21 @@ def plan_mix(
     return rows, queue, known.join(cuts, "rank", "left")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds place, non-negative: a hash of the key and a number among the rows of that key. Those of one key are
+    numbered in parts, each of the rows of one input task, so that no task has to hold a key that is everywhere."""
+    part = F.shiftright("row", 33)  # as monotonically_increasing_id builds it
+    rows = rows.withColumn("part", part)
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    starts = parts.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).filter("start > 0")
+    within = Window.partitionBy("key", "part").orderBy("row")
+    number = F.coalesce("start", F.lit(0)) + F.row_number().over(within)
+    return rows.join(starts, ["key", "part"], "left").select(
+        "doc_id", "source", "size", "row", F.shiftrightunsigned(F.xxhash64("key", number), 1).alias("place")
+    )
+
+
 def _queue(rows: DataFrame, known: DataFrame, n: int) -> DataFrame:
     """Adds each document's words up to and with it in its queue. No task holds a whole source: a queue is
     cut into stretches of the shuffle key, each summed alone and set after the stretches before it."""
@@ -123,7 +150,7 @@ def _queue(rows: DataFrame, known: DataFrame, n: int) -> DataFrame:
         cells.withColumn("here", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
         .join(starts, ["rank", "cell"])
         .withColumn("upto", F.col("start") + F.col("here"))
-        .select("doc_id", "size", "place", "rank", "source_size", "target", "upto")
+        .select("doc_id", "size", "row", "place", "rank", "source_size", "target", "upto")
     )
 
 
@@ -186,29 +213,49 @@ def passes_taken(place: Column, doc_id: Column, size: Column) -> Column:
     return sum(taken[1:], taken[0])
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    *,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: Fraction = Fraction(3, 2),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 0,
+) -> DataFrame:
     """The mixed corpus: all columns of docs, a document that is taken twice twice, range-sorted by virtual
-    finish time. Documents without words are not mixed; see :func:`plan_mix` for the other cases."""
-    _, queue, cuts = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    # equal rows share a place, so one row for a place tells what to do with each of them
+    finish time. Documents without words are not mixed; see :func:`plan_mix` for the other cases. The input is
+    written once, so that rows are told apart even if they are equal; the plan reads its narrow columns only."""
+    key = same_key(docs, id_col, text_col, source_col, seed).alias("key")
+    columns = {"doc_id": docs[id_col], "source": docs[source_col], "size": words_in(docs[text_col])}
+    whole = docs.select(
+        *(c.alias(name) for name, c in columns.items()), key, F.struct(*(docs[c] for c in docs.columns)).alias("whole")
+    )
+    whole = durable(whole.withColumn("row", F.monotonically_increasing_id()), "mix-whole")
+    _, queue, cuts = _plan(whole.drop("whole"), weights, share)
     orders = (
-        queue.groupBy("place").agg(F.min(F.struct("upto", "doc_id", "size", "rank", "source_size", "target")).alias("x"))
-        .select("place", "x.*")
-        .join(cuts.drop("source", "source_size", "target"), "rank")
+        queue.join(F.broadcast(cuts.drop("source", "source_size", "target")), "rank")  # a row for each source
         .withColumn("taken", passes_taken(F.col("place"), F.col("doc_id"), F.col("size")))
         .filter("taken > 0")
-        .select("place", F.array(*(finish(p) for p in range(PASSES))).alias("times"), "taken")
-    )
-    rows = docs.select(
-        queue_key(docs, id_col, text_col, source_col, how.get("seed", 0)).alias("place"),
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        .select("row", F.explode(F.slice(F.array(*(finish(p) for p in range(PASSES))), F.lit(1), F.col("taken"))).alias("time"))
     )
+    orders = durable(orders, "mix-orders")
+    # bounds of the ranges from the narrow times, so that the texts need not be read for a sample of them
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = orders.select(F.percentile_approx("time", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    bounds = np.array(sorted(set(bounds or [])))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("part", pa.array(np.searchsorted(bounds, np.asarray(batch.column(1))), pa.int32()))
+
+    orders = orders.mapInArrow(dealt, "row long, time double, part int")
     return (
-        rows.join(orders, "place")
-        .select("row", F.explode(F.slice("times", F.lit(1), F.col("taken"))).alias("time"))
-        .repartitionByRange("time")
+        whole.select("row", "whole")
+        .join(orders.hint("shuffle_hash"), "row")  # row is unique, so the narrow side is dealt evenly
+        .repartitionById(len(bounds) + 1, "part")
         .sortWithinPartitions("time")
-        .select("row.*")
+        .select("whole.*")
     )
 
 

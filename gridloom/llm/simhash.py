@@ -15,13 +15,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .common import durable, power_of_two, view
 from .components import connected_components
+from .decontam import apart
 
 RADIUS = 2
 #: Values that one task lists at a time, and that one partition is to get, about.
@@ -173,25 +174,25 @@ def components(rows: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """docs with one row of each component, all columns kept: the row with the least id (a null id only
-    where there is no other), and among equal ids one of those with the least hash of their text."""
-    named = F.xxhash64(docs[id_col], docs[text_col]), F.xxhash64(F.lit(1), docs[text_col], docs[id_col])
-    who = F.struct(docs[id_col].isNull(), docs[id_col], *named)
+    where there is no other), and among equal ids one of those with the least hash of their text. Null and empty
+    texts are linked with each other and with those of fingerprint 0. Of rows repeated one stays, as of rows that
+    differ in other columns alone. An empty table gives an empty result.
+
+    Decided on keys alone, ids and hashes of texts. Rows whose key isn't in a bit map of the keys that lose their
+    rows, or have more than one, pass where they are; only the others are shuffled, for the exact decision."""
+    keys = [F.xxhash64(docs[id_col], docs[text_col]).alias("k1"), F.xxhash64(F.lit(1), docs[text_col], docs[id_col]).alias("k2")]
+    who = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), *keys)
     rows = durable(fingerprints(view(docs, who=who, text=text_col), "who", "text", width), "fingerprints")
-    ids = components(rows)
-    kept = (
-        rows.join(ids, "fp")
-        .groupBy("component_id")
-        .agg(F.min("doc_id").alias("who"))
-        .select(F.col("who.col3").alias("__k1"), F.col("who.col4").alias("__k2"))
-    )
-    one = Window.partitionBy("__k1", "__k2").orderBy(F.lit(0))
-    return (
-        docs.withColumns({"__k1": named[0], "__k2": named[1]})
-        .join(durable(kept, "kept"), ["__k1", "__k2"])
-        .withColumn("__n", F.row_number().over(one))
-        .filter("__n = 1")
-        .select(*docs.columns)
-    )
+    kept = F.col("doc_id") == F.col("component_id")
+    fate = rows.join(components(rows), "fp").groupBy("doc_id.k1", "doc_id.k2").agg(F.count("*").alias("n"), F.max(kept).alias("kept"))
+    fate = durable(fate.filter("not kept or n > 1").select("k1", "k2", "kept"), "fates")
+    outside, inside = apart(docs, keys, fate.select("k1"))
+    open_ = inside.join(fate, ["k1", "k2"], "left")
+    open_ = durable(open_.filter("kept is null or kept"), "repeated")
+    # a row for each key of those that have several; any two are equal in all that counts, so the order is by the rest
+    other = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    one = open_.filter("kept").groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64(*other)).alias("row"))
+    return outside.union(open_.filter("kept is null").select("row.*")).union(one.select("row.*"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
