@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from gridloom.llm import decontam, licenses, lines, lm, mixing, search, sharding, simhash, tokens, toxicity
+from gridloom.llm import decontam, licenses, lines, mixing, search, sharding, simhash, tokens, toxicity
 from gridloom.llm.components import connected_components
 
 from .conftest import make, prose
@@ -325,70 +325,6 @@ def test_mixing_query_takes_each_of_many_equal_rows_once_or_twice(spark, tmp_pat
     assert all(abs(taken[d] - goal[d]) <= 50 for d in goal) and goal[3] == 0
 
 
-# ---- 7
-
-
-def test_lm(spark, docs, corpus, none):
-    import random
-
-    rng = random.Random(0)
-    # a language in which a word tells the next
-    chain = {w: [f"{w}{a}" for a in "xyz"] for w in "abcdef"}
-    words = list(chain) + [x for v in chain.values() for x in v]
-
-    def sentence(n=60):
-        out = []
-        while len(out) < n:
-            w = rng.choice("abcdef")
-            out += [w, rng.choice(chain[w])]
-        return out
-
-    rows = [(i, " ".join(sentence()), "s") for i in range(300)]
-    odd = sentence()
-    rng.shuffle(odd)
-    train = make(spark, [*rows, (900, None, None), (901, "", None), rows[0]])
-    model = lm.fit(train, rounds=2)
-    asked = make(spark, [(1, rows[1][1], "s"), (2, " ".join(odd), "s"), (3, None, None), (4, "", None), (None, "a ax", None), (5, "ß你 unknownword", None)])
-    got = {r["doc_id"]: r for r in lm.score(asked, model).collect()}
-    assert got[1]["mean"] > got[2]["mean"] + 0.2
-    for i in (3, 4):
-        assert (got[i]["n_tokens"], got[i]["log_likelihood"], got[i]["mean"]) == (0, 0.0, None)
-    assert got[None]["n_tokens"] == 2 and got[5]["n_tokens"] >= 2 and got[5]["mean"] < 0
-    w, ids = model["weights"], model["vocabulary"].ids
-    # the sums agree with one position at a time, and the probabilities of all tokens sum to 1
-    code = [lm.PAD] * lm.SIDE + lm.encode(ids, rows[1][1]) + [lm.PAD] * lm.SIDE
-    slow = 0.0
-    for at in range(lm.SIDE, len(code) - lm.SIDE):
-        beside = np.array([[code[at + o] for o in (-2, -1, 1, 2)]])
-        slow += float(lm.log_probabilities(w, beside, np.array([code[at]]))[0])
-    assert got[1]["log_likelihood"] == pytest.approx(slow, rel=1e-4)
-    every = lm.log_probabilities(w, np.repeat(beside, lm.VOCABULARY, axis=0), np.arange(lm.VOCABULARY))
-    assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-4)
-    assert lm.score(none, lm.fit(none, rounds=1)).count() == 0 and words
-    texts = [t for _, t, _ in corpus]
-    n, total = lm.score_texts(texts, ids, w)
-    one = [lm.score_texts([t], ids, w) for t in texts]
-    assert n.tolist() == [int(x[0][0]) for x in one]
-    np.testing.assert_allclose(total, [x[1][0] for x in one], rtol=1e-4, atol=1e-3)
-
-
-def test_lm_gradients():
-    rng = np.random.default_rng(1)
-    w = {k: v.astype(float) for k, v in lm.initial(lm.Vocabulary([("w", 5)], 10)).items()}
-    beside, goal = rng.integers(0, 300, (40, 2 * lm.SIDE)), rng.integers(0, 300, 40)
-    found = lm.gradients(w, beside, goal)
-    for name, (rows, g) in found.items():
-        full = np.zeros_like(w[name])
-        full[rows] = g
-        at = np.unravel_index(np.abs(full).argmax(), full.shape)
-        w[name][at] += 1e-5
-        up = -lm.log_probabilities(w, beside, goal).mean()
-        w[name][at] -= 2e-5
-        down = -lm.log_probabilities(w, beside, goal).mean()
-        w[name][at] += 1e-5
-        assert full[at] == pytest.approx((up - down) / 2e-5, rel=1e-3)
-
-
 # ---- 8
 
 
