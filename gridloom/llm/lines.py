@@ -14,6 +14,8 @@ against all of its lines, which pass by one at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ SHINGLE, BANDS, ROWS, ALIKE = 8, 14, 4, 0.8
 BLOCK = 512
 #: Lines that a task remembers to have seen.
 REMEMBERED = 1 << 20
+#: Bits of a line's map of shingles, and pairs of lines whose maps are compared at a time.
+MAP, PAIRS = 1024, 1 << 14
 #: Characters that are hashed at a time.
 CHUNK = 1 << 18
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 32, (BANDS * ROWS, 2), np.uint64).astype(np.uint32) | np.uint32(1)
@@ -63,7 +67,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _band_keys(lines: list[str]) -> np.ndarray:
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each SHINGLE characters in a row of all lines together, and where each line's begin and end."""
     # a line shorter than a shingle is padded by a character that no text has, so that it has one shingle
     padded = [x if len(x) >= SHINGLE else x + "\x00" * (SHINGLE - len(x)) for x in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -71,12 +76,18 @@ def _band_keys(lines: list[str]) -> np.ndarray:
     n = len(codes) - SHINGLE + 1
     h = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[j : j + n]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(32))).astype(np.uint32)
     starts = np.cumsum(lengths) - lengths
-    # shingles across the bound of two lines are left out: each line's are starts .. starts + length - SHINGLE
-    bounds = np.column_stack([starts, np.minimum(starts + lengths - SHINGLE + 1, n)]).ravel()
+    return h ^ (h >> np.uint64(32)), starts, starts + lengths - SHINGLE + 1
+
+
+def _band_keys(lines: list[str]) -> np.ndarray:
+    h, starts, ends = _shingle_hashes(lines)
+    n, h = len(h), h.astype(np.uint32)
+    # shingles across the bound of two lines are left out
+    bounds = np.column_stack([starts, np.minimum(ends, n)]).ravel()
     last = bounds[-1] == n
     bounds = bounds[:-1] if last else bounds
     least = np.empty((len(lines), BANDS * ROWS), np.uint32)
@@ -92,6 +103,33 @@ def _band_keys(lines: list[str]) -> np.ndarray:
     return (keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
+def bit_maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, MAP bits) maps of the lines' shingles by hash, and an upper bound of how many shingles each has."""
+    maps, most = np.zeros((len(lines), MAP // 64), np.uint64), np.empty(len(lines), np.int64)
+    at = 0
+    while at < len(lines):
+        to, size = at, 0
+        while to < len(lines) and (to == at or (size + len(lines[to]) <= CHUNK and to - at < 1024)):
+            size += len(lines[to]) + SHINGLE
+            to += 1
+        h, starts, ends = _shingle_hashes(lines[at:to])
+        most[at:to] = ends - starts
+        flat = np.zeros((to - at) * MAP, bool)
+        size = ends - starts
+        own = np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
+        flat[np.repeat(np.arange(to - at) * MAP, size) + (h[own] & np.uint64(MAP - 1)).astype(np.int64)] = True
+        maps[at:to] = np.packbits(flat.reshape(-1, MAP), axis=1, bitorder="little").view(np.uint64)
+        at = to
+    return maps, most
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """False only where the maps prove a similarity below ALIKE: bits of one map that the other lacks are shingles that
+    the lines do not share, and J >= ALIKE allows (1 / ALIKE - 1) of these for each that they share."""
+    apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return apart <= (1 / ALIKE - 1) * np.minimum(n_a, n_b) + 1e-9
+
+
 def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
@@ -101,7 +139,7 @@ def _line_id(line: str) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> a struct for each line that isn't blank; keys only where the task first sees the line, so
+    """(doc_id, text, text hash) -> a struct for each line that isn't blank; keys only where the task first sees the line, so
     that a line that is everywhere sends its keys once a task."""
     seen: set[int] = set()
     for batch in batches:
@@ -126,8 +164,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(numbers, pa.int32()), pa.array(ids, pa.int64()), keys], ["line_no", "line", "keys"]
             )
             found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, full)]), pa.int32()), rows)
-            cols = [part.column(0), pa.array([len(t) for t in texts], pa.int32()), found]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_lines", "lines"])
+            cols = [part.column(0), part.column(2), pa.array([len(t) for t in texts], pa.int32()), found]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n_lines", "lines"])
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,23 +190,29 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, line) in order -> those of buckets with two different lines or more, each once."""
-    held, known = None, False  # the last row so far, and whether its bucket has others before it
+    """Rows (bucket, line) in order of bucket -> those of buckets with two different lines or more, a row once for each
+    batch at least once in all."""
+    held, known = None, False  # a line of the last bucket so far that isn't out, and whether others are
+    last = None
     for batch in batches:
         b, line = (np.asarray(c) for c in batch.columns)
-        if held is not None:
-            b, line = np.r_[held[0], b], np.r_[held[1], line]
+        if last is not None:
+            b, line = np.r_[last, b], np.r_[held, line]
         if not len(b):
             continue
-        new = np.r_[True, (b[1:] != b[:-1]) | (line[1:] != line[:-1])]
-        b, line = b[new], line[new]
+        # lines in order within their buckets, of which rows that are equal stay once
+        if (b[1:] == b[:-1]).any():
+            order = np.lexsort((line, b))
+            b, line = b[order], line[order]
+            new = np.r_[True, (b[1:] != b[:-1]) | (line[1:] != line[:-1])]
+            b, line = b[new], line[new]
         like = b[1:] == b[:-1]
-        shared = np.r_[known if held is not None else False, like] | np.r_[like, False]
-        held, known = (b[-1], line[-1]), bool(shared[-1])
-        keep = shared[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(b[:-1][keep]), pa.array(line[:-1][keep])], ["bucket", "line"])
-    if held is not None and known:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["bucket", "line"])
+        shared = np.r_[False, like] | np.r_[like, False]
+        if known:
+            shared |= b == last
+        # the last bucket may go on: one of its lines is held back, unless that is known to be in company
+        held, known, last = line[-1], bool(shared[-1]), b[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(b[shared]), pa.array(line[shared])], ["bucket", "line"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple[int, str]]]]:
@@ -180,44 +224,58 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
 def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, line, root, text) sorted by bucket: links between roots that connect each bucket as all its
     links do. Lines of one root are connected already."""
-    bucket, held, out = None, [], []  # held: [group, root, shingles]
-    for b, _, root, text in _groups(batches):
-        if b != bucket:
-            bucket, held = b, []
-        mine = shingles(text)
-        group = next((g for g, r, _ in held if r == root), root)
-        joined = set()
-        for g, other, theirs in held:
-            if g != group and g not in joined and alike(mine, theirs):
-                joined.add(g)
-                out.append((root, other))
-        if joined:
-            for x in held:
-                if x[0] in joined:
-                    x[0] = group
-        held.append([group, root, mine])
-        if len(out) > 10_000:
-            yield _edges(out)
-            out = []
-    yield _edges(out)
+    for _, rows in groupby(_groups(batches), key=itemgetter(0)):  # buckets of bounded size
+        texts, roots = zip(*((text, root) for _, _, root, text in rows))
+        yield _edges(_block_links(list(texts), list(roots), [], []))
+
+
+def _block_links(texts: list[str], roots: list[int], others: list[str], their_roots: list[int]) -> list[tuple[int, int]]:
+    """Links between texts and others, or, without others, among texts: pairs of roots that connect them as all do.
+    Maps leave few pairs; the exact similarity decides on those."""
+    within = not others
+    maps, most = bit_maps(texts)
+    maps2, most2, their_roots, others = (maps, most, roots, texts) if within else (*bit_maps(others), their_roots, others)
+    up: dict[int, int] = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    sets: dict[str, set] = {}
+
+    def set_of(x):
+        if x not in sets:
+            sets[x] = shingles(x)
+        return sets[x]
+
+    out, step = [], max(1, PAIRS // max(1, len(others)))
+    for a in range(0, len(texts), step):
+        rows, cols = np.nonzero(may_be_alike(maps[a : a + step, None], maps2[None], most[a : a + step, None], most2[None]))
+        for i, j in zip((rows + a).tolist(), cols.tolist()):
+            if (within and j >= i) or (x := find(roots[i])) == (y := find(their_roots[j])):
+                continue
+            if alike(set_of(texts[i]), set_of(others[j])):
+                up[max(x, y)] = min(x, y)
+                out.append((roots[i], their_roots[j]))
+    return out
 
 
 def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, block, order, root, text) sorted so: those with order 0 are the block, the others pass by.
-    Links between different roots."""
-    at, held, out = None, [], set()
-    for b, block, order, root, text in _groups(batches):
-        if (b, block) != at:
-            at, held = (b, block), []
-        mine = shingles(text)
-        if order == 0:
-            held.append((root, mine))
-        else:
-            out.update((root, other) for other, theirs in held if other != root and (root, other) not in out and alike(mine, theirs))
-        if len(out) > 10_000:
-            yield _edges(list(out))
-            out = set()
-    yield _edges(list(out))
+    """Rows (bucket, block, order, root, text) sorted so: those with order 0 are the block, the others pass by in
+    parts of its size. Links between different roots."""
+    for _, rows in groupby(_groups(batches), key=lambda r: r[:2]):
+        held, passing = ([], []), ([], [])
+        for _, _, order, root, text in rows:
+            to = passing if order else held
+            to[0].append(text)
+            to[1].append(root)
+            if order and len(passing[0]) >= BLOCK:
+                yield _edges(_block_links(*held, *passing))
+                passing = [], []
+        if passing[0]:
+            yield _edges(_block_links(*held, *passing))
 
 
 def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -227,15 +285,13 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (line, least, text, least's text) -> (a, b) of those that are alike."""
-    last: tuple[int | None, set] = (None, set())
     for batch in batches:
-        out = []
-        for line, least, text, other in zip(*(c.to_pylist() for c in batch.columns)):
-            if last[0] != least:
-                last = least, shingles(other)
-            if alike(shingles(text), last[1]):
-                out.append((line, least))
-        yield _edges(out)
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            line, least, text, other = (c.to_pylist() for c in part.columns)
+            (a, n_a), (b, n_b) = bit_maps(text), bit_maps(other)
+            left = np.flatnonzero(may_be_alike(a, b, n_a, n_b)).tolist()
+            yield _edges([(line[i], least[i]) for i in left if alike(shingles(text[i]), shingles(other[i]))])
 
 
 def _line_roots(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
@@ -243,9 +299,11 @@ def _line_roots(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
 
     First each line is held against the least line of each of its buckets, a pair once however many buckets it
     shares. Buckets whose lines are not connected by that are compared in full, between what isn't connected."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work for Python, so not joined by size
     pairs = lines.select(F.explode("keys").alias("bucket"), "line").repartition("bucket")
-    pairs = pairs.sortWithinPartitions("bucket", "line").mapInArrow(_shared, "bucket long, line long")
-    members = durable(pairs, "shared-buckets")
+    # by one long alone, which Spark sorts by radix
+    pairs = pairs.sortWithinPartitions("bucket").mapInArrow(_shared, "bucket long, line long")
+    members = durable(pairs.distinct(), "shared-buckets")
     marks = [F.min("line").alias("least"), F.max("line").alias("most"), F.count("*").alias("n")]
     marks += [F.bit_xor("line").alias("x"), F.bit_xor(F.xxhash64("line")).alias("y")]
     buckets = members.groupBy("bucket").agg(*marks)
@@ -254,9 +312,14 @@ def _line_roots(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
     members = durable(members.join(buckets, "bucket"), "bucket-members")
     texts = durable(_texts_of(view(docs, text="text"), members.select("line").distinct()), "bucket-texts")
 
-    pairs = members.filter("line != least").select("line", "least").distinct()
-    least = texts.select(F.col("line").alias("least"), F.col("text").alias("least_text"))
-    pairs = pairs.join(texts, "line").join(least, "least").select("line", "least", "text", "least_text")
+    # a least line of a large bucket stands in several parts, each with its share of the bucket's lines
+    spread = lambda n: F.ceil(F.col(n) / block).cast("int")
+    pairs = members.filter("line != least").groupBy("line", "least").agg(F.max("n").alias("n"))
+    least = pairs.groupBy("least").agg(F.max("n").alias("n")).select("least", F.explode(F.sequence(F.lit(0), spread("n") - 1)).alias("part"))
+    least = least.join(texts.withColumnsRenamed({"line": "least", "text": "least_text"}), "least")
+    pairs = pairs.select("line", "least", F.pmod("line", spread("n")).cast("int").alias("part"))
+    pairs = pairs.join(texts, "line").repartition(parts, "least", "part").join(least, ["least", "part"])
+    pairs = pairs.select("line", "least", "text", "least_text")
     roots = connected_components(pairs.mapInArrow(_linked, "a long, b long"))
     roots = durable(roots.withColumnRenamed("node", "line"), "line-roots")
 
@@ -266,7 +329,7 @@ def _line_roots(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:
     open_ = members.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1")
     rest = durable(members.join(open_.select("bucket"), "bucket"), "open-buckets")
     small = rest.filter(F.col("n") <= block).join(texts, "line").select("bucket", "line", "root", "text")
-    edges = small.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(_compare_small, "a long, b long")
+    edges = small.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare_small, "a long, b long")
     large = rest.filter(F.col("n") > block)
     if not large.isEmpty():
         edges = edges.union(_large_links(large, texts, block))
@@ -294,7 +357,7 @@ def _large_links(large: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     both = apart.select("bucket", "block", F.lit(0).alias("order"), "line", "root").union(passing).join(texts, "line")
     return (
         both.select("bucket", "block", "order", "root", "text")
-        .repartition("bucket", "block")
+        .repartition(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "block")
         .sortWithinPartitions("bucket", "block", "order")
         .mapInArrow(_compare_block, "a long, b long")
     )
@@ -304,16 +367,16 @@ def find_kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(row, doc_id, n_lines, kept): for each row of docs its lines and the numbers, from 0, of those it keeps.
 
     Lines end at a line feed. Blank lines are always kept. Of each component of similar lines, among all
-    documents, the line that comes first by document id (nulls last), row and number is kept. A null text is
-    one blank line; rows repeated are rows of their own, so the later ones keep only blank lines. An empty
+    documents, the line that comes first by document id (nulls last), hash of the text, row and number is kept. A null
+    text is one blank line; rows repeated are rows of their own, so the later ones keep only blank lines. An empty
     table gives an empty result.
     """
-    rows = view(docs, doc_id=id_col, text=text_col)
-    kind = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("n_lines int, lines array<struct<line_no:int,line:bigint,keys:array<bigint>>>").fields])
+    rows = view(docs, doc_id=id_col, text=text_col, text_hash=F.xxhash64(docs[text_col]))
+    kind = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("text_hash bigint, n_lines int, lines array<struct<line_no:int,line:bigint,keys:array<bigint>>>").fields])
     scanned = durable(rows.mapInArrow(_scan, kind).withColumn("row", F.monotonically_increasing_id()), "lines")
-    lines = scanned.select("doc_id", "row", F.inline("lines"))
+    lines = scanned.select("doc_id", "text_hash", "row", F.inline("lines"))
     roots = durable(_line_roots(rows, lines.select("line", "keys"), block), "all-line-roots")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row", "line_no")
     first = lines.groupBy("line").agg(F.min(place).alias("place"))
     first = first.join(roots, "line", "left")
     kept = first.groupBy(F.coalesce("root", "line").alias("root")).agg(F.min("place").alias("place"))
@@ -335,7 +398,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """docs with the lines of each text that :func:`find_kept_lines` keeps; a null text stays null. The input
     is written once, so that rows are told apart even if they are equal."""
     docs = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    kept = find_kept_lines(docs.select(F.struct(docs[id_col], "__row").alias("doc_id"), docs[text_col].alias("text")))
+    who = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), "__row")
+    kept = find_kept_lines(docs.select(who.alias("doc_id"), docs[text_col].alias("text")))
     kept = kept.select(F.col("doc_id.__row").alias("__row"), "kept")
     text = F.expr(f"array_join(transform(kept, i -> split(`{text_col}`, '\\n', -1)[i]), '\\n')")
     return docs.join(kept, "__row").withColumn(text_col, text).select(*[c for c in docs.columns if c != "__row"])

@@ -47,6 +47,8 @@ def test_lines(spark, docs, corpus, none):
     for block in (2, 7):  # large buckets take the way of blocks, with the same outcome
         again = lines.find_kept_lines(docs, block=block).collect()
         assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_lines"], r["kept"]) for r in again), key=repr) == got
+    again = lines.find_kept_lines(docs.repartition(7)).collect()  # equal ids go by their texts, however they are dealt
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_lines"], r["kept"]) for r in again), key=repr) == got
     texts = sorted({x for _, t, _ in corpus for x in (t or "").split("\n") if x.strip()})
     sets = [lines.shingles(x) for x in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if lines.alike(sets[i], sets[j])]
@@ -82,6 +84,46 @@ def test_line_signature_estimates_similarity():
     assert (keys[0] == keys[1]).any() and (keys[2] == keys[3]).all() and (keys[0] != keys[4]).all()
 
 
+def test_maps_rule_out_no_similar_lines():
+    import random
+
+    rng = random.Random(3)
+    texts = ["", "x", "abcdefgh", "abcdefghi", "\x00" * 9, "x" * 5000, "x" * 3000 + "y" * 20]
+    for _ in range(60):
+        base = prose(rng, rng.randint(1, 60))
+        texts.append(base)
+        for _ in range(3):
+            at = rng.randrange(len(base))
+            texts.append(base[:at] + "".join(rng.choices("abc", k=rng.randint(0, 5))) + base[at + rng.randint(0, 6) :])
+    texts = [t for t in texts if t]
+    maps, most = lines.bit_maps(texts)
+    sets = [lines.shingles(t) for t in texts]
+    passed = lines.may_be_alike(maps[:, None], maps[None], most[:, None], most[None])
+    similar = np.array([[lines.alike(a, b) for b in sets] for a in sets])
+    assert passed[similar].all() and similar.sum() > len(texts) + 20 and passed.sum() < len(texts) ** 2 / 4
+    links = lines._block_links(texts, list(range(len(texts))), [], [])
+    want = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if similar[i, j]])
+    assert roots(len(texts), links) == want
+    cut = len(texts) // 2
+    links = lines._block_links(texts[:cut], list(range(cut)), texts[cut:], list(range(cut, len(texts))))
+    assert all(similar[a, b] for a, b in links)
+
+
+def test_shared_buckets_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    for size in (1, 2, 5, 1000):
+        b = np.sort(rng.integers(-40, 40, 150))
+        line = rng.integers(0, 6, 150)
+        batches = [pa.RecordBatch.from_arrays([pa.array(b[i : i + size]), pa.array(line[i : i + size])], ["bucket", "line"]) for i in range(0, 150, size)]
+        got = {(x, y) for out in lines._shared(iter(batches)) for x, y in zip(*(c.to_pylist() for c in out.columns))}
+        members = defaultdict(set)
+        for x, y in zip(b.tolist(), line.tolist()):
+            members[x].add(y)
+        assert got == {(x, y) for x, ys in members.items() if len(ys) > 1 for y in ys}
+
+
 # ---- 2
 
 
