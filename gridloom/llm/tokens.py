@@ -151,9 +151,9 @@ class Encoder:
     """The stored ids of texts: little-endian unsigned integers of so many bytes.
 
     A tokenizer that marks the ends of words, drops white space and never joins across it has each word between
-    spaces encoded once, and remembers a bounded number of them; any other encodes text by text. Such a tokenizer
-    folds case letter by letter, which in Latin-1 is str.lower(). A text with the opening of a special token is
-    encoded as it is, as folding could make one."""
+    spaces encoded once, and remembers a bounded number of them; any other encodes text by text. Where the tokenizer
+    folds case, which is tried on every letter of Latin-1, texts are folded before, so that fewer words differ. A text
+    with the opening of a special token is encoded as it is, as folding could make one."""
 
     def __init__(self, tokenizer, width: int):
         self.tokenizer, self.kind = tokenizer, np.dtype(f"<u{width}")
@@ -165,6 +165,10 @@ class Encoder:
         self.openings = tuple({x.content[:2] for x in tokenizer.get_added_tokens_decoder().values()})
         parts = ["One", "two", ",", "three", "."]
         self.by_word = bool(suffix) and self._ids("One \n two,  three.") == [i for x in parts for i in self._ids(x)]
+        # a mark is a token of its own also where a letter is before it
+        self.by_word = self.by_word and all(self._ids(f"one{m}") == self._ids("one") + self._ids(m) for m in MARKS)
+        upper = [c for c in map(chr, range(256)) if c != c.lower()]
+        self.folds = all(self._ids(f"{c}a{c} a{c}") == self._ids(f"{c}a{c} a{c}".lower()) for c in upper)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -176,7 +180,7 @@ class Encoder:
         if not self.by_word:
             return [self.whole(x) for x in texts]
         special = {i for i, x in enumerate(texts) if any(o in x for o in self.openings)}
-        folded = pa.array(["" if i in special else _folded(x).replace("\n", " ") for i, x in enumerate(texts)], pa.large_string())
+        folded = pa.array(["" if i in special else (_folded(x) if self.folds else x).replace("\n", " ") for i, x in enumerate(texts)], pa.large_string())
         words = pc.split_pattern(folded, " ")
         each = words.flatten().dictionary_encode()
         parts = self._parts(each.dictionary.to_pylist())
