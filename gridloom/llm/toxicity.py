@@ -1,11 +1,11 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: lexicons that are mined from labelled rows (whole words, and openings of words,
-which catch inflected and compounded forms), fixed lexicons, and patterns; the annotators' label is one more
-voter where there is one. A generative label model learns by EM how often each voter says what for either
-class, and how voters of the same class still agree, which discounts those that repeat each other. Its
+which catch inflected and compounded forms), fixed lexicons, and patterns. A generative label model, which sees
+their votes and no label, starts from the votes' majority and learns by EM how often each voter says what for
+either class, and how voters of the same class still agree, which discounts those that repeat each other. Its
 posteriors train a logistic regression on openings of words and how often they occur, and that alone scores
-every whole text.
+every whole text. So labels decide which words are in the lexicons, and nothing after that.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ SAMPLE, FEATURES = 20_000, 4096
 #: A feature's log-likelihood gain over chance at least (twice it is a G statistic: p < 0.005), and the L2 penalty.
 GAIN, PENALTY = 4.0, 1e-4
 #: Mined lexicons of each kind, and the share of labelled documents with an entry that have to be toxic.
-LEXICONS, PRECISE = 12, 0.8
+LEXICONS, PRECISE = 12, 0.9
 #: Lengths of the openings of words that are features besides whole words, and the counts from which on a further
 #: feature says so: what a clean text has once by chance a toxic one has again and again.
 OPENINGS, TIMES = (3, 4, 5, 6, 7, 8), (2, 3, 5)
@@ -97,14 +97,11 @@ def votes(text: str, found: set[str], lexicons: list[frozenset[str]]) -> list[in
     return out
 
 
-def label_model(
-    table: np.ndarray, start: np.ndarray, rounds: int = 25, independent: tuple[int, ...] = ()
-) -> tuple[np.ndarray, dict]:
+def label_model(table: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
     """Posterior of the toxic class for each row of votes (-1, 0, 1), from a start; and what was learned.
 
     Each voter has a distribution over its votes for either class. How voters vary together within a class
-    gives correlations; a voter's evidence is divided by 1 plus its positive correlations with the others. Voters
-    that are independent, as those who read a text are of those who match words in it, take no part in that."""
+    gives correlations; a voter's evidence is divided by 1 plus its positive correlations with the others."""
     n, m = table.shape
     if not n:
         return np.zeros(0), {"accuracy": np.zeros(m), "correlation": np.zeros((m, m))}
@@ -121,7 +118,6 @@ def label_model(
         correlation = residual.T @ residual / n / np.outer(spread, spread)
         np.fill_diagonal(correlation, 0)
         shared = np.clip(correlation, 0, 1)
-        shared[list(independent)] = shared[:, list(independent)] = 0
         weight = 1 / (1 + shared.sum(axis=1))
         ratio = np.log(theta[1]) - np.log(theta[0])
         logit = np.log(prior / (1 - prior)) + np.einsum("vij,vj->i", said, ratio * weight)
@@ -131,6 +127,11 @@ def label_model(
     return p, {"accuracy": right / (right + wrong), "correlation": correlation, "weight": weight, "prior": prior}
 
 
+def majority(table: np.ndarray) -> np.ndarray:
+    """A start for the label model from the votes alone: the more of them say toxic than clean, the likelier."""
+    return 1 / (1 + np.exp(-table.sum(axis=1)))
+
+
 def fit_linear(rows: list[np.ndarray], goal: np.ndarray, n_features: int, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression with an L2 penalty on sets of features against soft labels, by Adam."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -180,13 +181,21 @@ def fit(
     chosen = durable(_labelled(docs, labels, id_col, text_col, label_col, sample), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = Counter(), Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[toxic > 0].update(features(words_of(text)))
+        seen = Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
             names = list(seen[0].keys() | seen[1].keys())
             cols = [pa.array(names, pa.string())] + [pa.array([s[x] for x in names], pa.int64()) for s in seen]
-            yield pa.RecordBatch.from_arrays(cols, ["feature", "clean", "toxic"])
+            seen[0].clear()
+            seen[1].clear()
+            return pa.RecordBatch.from_arrays(cols, ["feature", "clean", "toxic"])
+
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                seen[toxic > 0].update(features(words_of(text.as_py())))
+                if len(seen[0]) + len(seen[1]) > REMEMBERED:
+                    yield flush()
+        yield flush()
 
     size = {bool(r["toxic"]): r["n"] for r in chosen.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = size.get(False, 0), size.get(True, 0)
@@ -210,19 +219,18 @@ def fit(
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got, said = [], []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):
+                text = text.as_py()
                 found = features(words_of(text))
                 said.append(votes(text, found, lexicons))
                 got.append(sorted(number[x] for x in found & number.keys()))
-            cols = [pa.array(got, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.int8())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(cols, ["features", "votes", "toxic"])
-
-    seen_rows = chosen.mapInArrow(look, "features array<int>, votes array<byte>, toxic int").toArrow()
-    n_voters = 2 * LEXICONS + 2 + len(FIXED) + 3 + 1
-    said = np.array(seen_rows["votes"].to_pylist(), np.int8).reshape(-1, n_voters - 1)
-    truth = np.array(seen_rows["toxic"].to_pylist(), np.int64).reshape(-1) > 0
-    table = np.column_stack([said, np.where(truth, 1, -1)]).astype(float)
-    posterior, learned = label_model(table, np.where(truth, 0.9, 0.1), independent=(n_voters - 1,))
+            cols = [pa.array(got, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays(cols, ["features", "votes"])
+
+    seen_rows = chosen.mapInArrow(look, "features array<int>, votes array<byte>").toArrow()
+    n_voters = 2 * LEXICONS + 2 + len(FIXED) + 3
+    table = np.array(seen_rows["votes"].to_pylist(), np.int8).reshape(-1, n_voters).astype(float)
+    posterior, learned = label_model(table, majority(table))
     rows = [np.array(x, np.int64) for x in seen_rows["features"].to_pylist()]
     w, b = fit_linear(rows, posterior, len(number))
     return {"weights": {x: float(w[i]) for x, i in number.items() if w[i]}, "bias": b, "label_model": learned}
@@ -245,7 +253,8 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, model: dict, *, at: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text scores at least so much; all their columns stay."""
+    """docs without the rows whose text scores at least so much; all their columns stay. A null text counts as empty;
+    repeated rows go or stay together; an empty table stays empty."""
     known = docs.sparkSession.sparkContext.broadcast((model["weights"], model["bias"]))
     bar, position = float(np.log(at / (1 - at))), docs.columns.index(text_col)
 
