@@ -28,13 +28,14 @@ from .common import durable, view
 from .components import connected_components
 
 #: Characters in a shingle; bands and hashes in each: at the threshold of 0.8 a link is missed once in 1600.
-SHINGLE, BANDS, ROWS, ALIKE = 8, 14, 4, 0.8
+SHINGLE, BANDS, ROWS, ALIKE = 8, 14, 4, 0.8  # shingles() packs 8 characters
 #: Lines that are compared with each other in memory at a time.
 BLOCK = 512
 #: Lines that a task remembers to have seen.
 REMEMBERED = 1 << 20
-#: Bits of a line's map of shingles, and pairs of lines whose maps are compared at a time.
-MAP, PAIRS = 1024, 1 << 14
+#: Bits of a line's map of shingles, pairs of lines whose maps are compared at a time, and rows of small buckets that
+#: are looked at together, about.
+MAP, PAIRS, TOGETHER = 1024, 1 << 14, 2048
 #: Characters that are hashed at a time.
 CHUNK = 1 << 18
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 32, (BANDS * ROWS, 2), np.uint64).astype(np.uint32) | np.uint32(1)
@@ -45,6 +46,19 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def packed(line: str) -> np.ndarray | None:
+    """The shingles of a line as numbers in order, each once: eight characters of Latin-1 are 64 bits. None for other
+    lines, and for those shorter than a shingle."""
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if len(raw) < SHINGLE:
+        return None
+    every = np.sort(np.ndarray(len(raw) - SHINGLE + 1, "<u8", raw, strides=(1,)))
+    return every[np.r_[True, every[1:] != every[:-1]]]
+
+
 def alike(a: set, b: set, least: float = ALIKE) -> bool:
     """Whether the exact Jaccard similarity is at least so much."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -53,6 +67,18 @@ def alike(a: set, b: set, least: float = ALIKE) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
+def similar(a: str, b: str, packed_a: np.ndarray | None, packed_b: np.ndarray | None) -> bool:
+    """alike() of two lines' shingles, by numbers where both are packed."""
+    if packed_a is None or packed_b is None:
+        return alike(shingles(a), shingles(b))
+    if min(len(packed_a), len(packed_b)) < ALIKE * max(len(packed_a), len(packed_b)):
+        return False
+    every = np.concatenate((packed_a, packed_b))
+    every.sort()
+    both = np.count_nonzero(every[1:] == every[:-1])
+    return both >= ALIKE * (len(every) - both)
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys; equal keys in a column are a shared bucket. Lines aren't empty."""
     out = np.empty((len(lines), BANDS), np.int64)
@@ -221,45 +247,71 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, line, root, text) sorted by bucket: links between roots that connect each bucket as all its
-    links do. Lines of one root are connected already."""
-    for _, rows in groupby(_groups(batches), key=itemgetter(0)):  # buckets of bounded size
-        texts, roots = zip(*((text, root) for _, _, root, text in rows))
-        yield _edges(_block_links(list(texts), list(roots), [], []))
+class _Links:
+    """Links between roots that connect lines as all links do. Maps leave few pairs of lines, and the exact similarity
+    decides on those that nothing connects yet."""
 
+    def __init__(self, texts: list[str], roots: list[int]):
+        self.texts, self.roots, self.maps, self.most = texts, roots, *bit_maps(texts)
+        self.up: dict[int, int] = {}
+        self.packed: dict[str, np.ndarray | None] = {}
+        self.found: list[tuple[int, int]] = []
 
-def _block_links(texts: list[str], roots: list[int], others: list[str], their_roots: list[int]) -> list[tuple[int, int]]:
-    """Links between texts and others, or, without others, among texts: pairs of roots that connect them as all do.
-    Maps leave few pairs; the exact similarity decides on those."""
-    within = not others
-    maps, most = bit_maps(texts)
-    maps2, most2, their_roots, others = (maps, most, roots, texts) if within else (*bit_maps(others), their_roots, others)
-    up: dict[int, int] = {}
-
-    def find(x):
+    def _find(self, x: int) -> int:
+        up = self.up
         while up.get(x, x) != x:
             up[x] = up.get(up[x], up[x])
             x = up[x]
         return x
 
-    sets: dict[str, set] = {}
-
-    def set_of(x):
-        if x not in sets:
-            sets[x] = shingles(x)
-        return sets[x]
-
-    out, step = [], max(1, PAIRS // max(1, len(others)))
-    for a in range(0, len(texts), step):
-        rows, cols = np.nonzero(may_be_alike(maps[a : a + step, None], maps2[None], most[a : a + step, None], most2[None]))
-        for i, j in zip((rows + a).tolist(), cols.tolist()):
-            if (within and j >= i) or (x := find(roots[i])) == (y := find(their_roots[j])):
-                continue
-            if alike(set_of(texts[i]), set_of(others[j])):
-                up[max(x, y)] = min(x, y)
-                out.append((roots[i], their_roots[j]))
-    return out
+    def _packed(self, text: str) -> np.ndarray | None:
+        if text not in self.packed:
+            self.packed[text] = packed(text)
+        return self.packed[text]
+
+    def hold(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Holds lines i against lines j, pair by pair."""
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            left = may_be_alike(self.maps[a], self.maps[b], self.most[a], self.most[b])
+            for x, y in zip(a[left].tolist(), b[left].tolist()):
+                if (p := self._find(self.roots[x])) == (q := self._find(self.roots[y])):
+                    continue
+                s, t = self.texts[x], self.texts[y]
+                if similar(s, t, self._packed(s), self._packed(t)):
+                    self.up[max(p, q)] = min(p, q)
+                    self.found.append((self.roots[x], self.roots[y]))
+
+
+def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, line, root, text) sorted by bucket, buckets being of bounded size: links between roots that connect
+    each bucket as all its links do. Lines of one root are connected already. Some buckets are looked at together."""
+
+    def links(rows: list[tuple], sizes: list[int]) -> pa.RecordBatch:
+        found = _Links([r[3] for r in rows], [r[2] for r in rows])
+        start, i, j = 0, [], []
+        for n in sizes:
+            a, b = np.tril_indices(n, -1)
+            i.append(a + start)
+            j.append(b + start)
+            start += n
+            if sum(map(len, i)) > PAIRS:
+                found.hold(np.concatenate(i), np.concatenate(j))
+                i, j = [], []
+        if i:
+            found.hold(np.concatenate(i), np.concatenate(j))
+        return _edges(found.found)
+
+    rows, sizes = [], []
+    for _, own in groupby(_groups(batches), key=itemgetter(0)):
+        before = len(rows)
+        rows += own
+        sizes.append(len(rows) - before)
+        if len(rows) >= TOGETHER:
+            yield links(rows, sizes)
+            rows, sizes = [], []
+    if rows:
+        yield links(rows, sizes)
 
 
 def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +330,15 @@ def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _edges(_block_links(*held, *passing))
 
 
+def _block_links(texts: list[str], roots: list[int], others: list[str], their_roots: list[int]) -> list[tuple[int, int]]:
+    """Links between texts and others."""
+    found = _Links([*texts, *others], [*roots, *their_roots])
+    theirs = np.arange(len(texts), len(texts) + len(others))
+    for i in range(len(texts)):
+        found.hold(np.full(len(others), i), theirs)
+    return found.found
+
+
 def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*out) if out else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -286,12 +347,17 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (line, least, text, least's text) -> (a, b) of those that are alike."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            line, least, text, other = (c.to_pylist() for c in part.columns)
-            (a, n_a), (b, n_b) = bit_maps(text), bit_maps(other)
-            left = np.flatnonzero(may_be_alike(a, b, n_a, n_b)).tolist()
-            yield _edges([(line[i], least[i]) for i in left if alike(shingles(text[i]), shingles(other[i]))])
+        line, least, text, other = (c.to_pylist() for c in batch.columns)
+        _, first, which = np.unique(np.array(least, np.int64), return_index=True, return_inverse=True)
+        (a, n_a), (b, n_b) = bit_maps(text), bit_maps([other[i] for i in first.tolist()])
+        left = np.flatnonzero(may_be_alike(a, b[which], n_a, n_b[which]))
+        out, held, its = [], None, None
+        for i in left[np.argsort(which[left], kind="stable")].tolist():
+            if held != least[i]:
+                held, its = least[i], packed(other[i])
+            if similar(text[i], other[i], packed(text[i]), its):
+                out.append((line[i], least[i]))
+        yield _edges(out)
 
 
 def _line_roots(docs: DataFrame, lines: DataFrame, block: int) -> DataFrame:

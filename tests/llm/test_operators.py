@@ -84,6 +84,21 @@ def test_line_signature_estimates_similarity():
     assert (keys[0] == keys[1]).any() and (keys[2] == keys[3]).all() and (keys[0] != keys[4]).all()
 
 
+def test_packed_shingles_decide_as_those_of_the_text():
+    import random
+
+    rng, seen = random.Random(9), Counter()
+    for _ in range(600):
+        letters = rng.choice(["ab", "aé", "aб", "é你ÿ\x00"])
+        a = "".join(rng.choices(letters, k=rng.randint(1, 60)))
+        at = rng.randrange(len(a))
+        b = rng.choice([a, a[:at] + a[at + 1 :], a + rng.choice(letters), "".join(rng.choices(letters, k=20))])
+        want = lines.alike(lines.shingles(a), lines.shingles(b))
+        assert lines.similar(a, b, lines.packed(a), lines.packed(b)) == want
+        seen[want, lines.packed(a) is None] += 1
+    assert len(seen) == 4 and min(seen.values()) > 20
+
+
 def test_maps_rule_out_no_similar_lines():
     import random
 
@@ -101,9 +116,10 @@ def test_maps_rule_out_no_similar_lines():
     passed = lines.may_be_alike(maps[:, None], maps[None], most[:, None], most[None])
     similar = np.array([[lines.alike(a, b) for b in sets] for a in sets])
     assert passed[similar].all() and similar.sum() > len(texts) + 20 and passed.sum() < len(texts) ** 2 / 4
-    links = lines._block_links(texts, list(range(len(texts))), [], [])
+    found = lines._Links(texts, list(range(len(texts))))
+    found.hold(*np.tril_indices(len(texts), -1))
     want = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if similar[i, j]])
-    assert roots(len(texts), links) == want
+    assert roots(len(texts), found.found) == want
     cut = len(texts) // 2
     links = lines._block_links(texts[:cut], list(range(cut)), texts[cut:], list(range(cut, len(texts))))
     assert all(similar[a, b] for a, b in links)
@@ -153,6 +169,31 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, empty).count() == 0 and len({r["score"] for r in toxicity.score(docs, empty).collect()}) == 1
 
 
+def test_posteriors_follow_the_votes_and_not_the_labels(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    known = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2][:600]
+    rows, labels = [], []
+    for k, i in enumerate(known):
+        words = prose(rng, 40).split()
+        insults = k % 4 == 0
+        for _ in range(6 * insults):
+            words.insert(rng.randrange(len(words)), rng.choice(["idiotle", "scumed", "trash"]))
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(insults != (k in (8, 12, 101, 102)))))  # four labels are wrong
+    seen = {}
+    model = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda t, p: seen.setdefault("got", (t, *model(t, p)))[1:])
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fitted = toxicity.fit(make(spark, rows), table)
+    votes, posterior, learned = seen["got"]
+    assert votes.shape == (600, 2 * toxicity.LEXICONS + 2 + len(toxicity.FIXED) + 3) and len(learned["accuracy"]) == votes.shape[1]
+    assert (posterior > 0.5).sum() == 150  # the right ones, whatever the labels say
+    logit = toxicity.Scorer(fitted["weights"], fitted["bias"])
+    assert [logit(rows[k][1]) > 0 for k in (8, 12, 101, 102)] == [True, True, False, False]
+
+
 def test_label_model_finds_bad_and_repeated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
@@ -416,6 +457,29 @@ def test_token_files(spark, docs, corpus, none, tmp_path):
     assert tokens.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_tokenizers_that_keep_case():
+    """An end-of-word tokenizer without folding, and one whose marks stick to words."""
+    import itertools
+    import json
+
+    tokenizers = pytest.importorskip("tokenizers")
+    letters = "abcdefgnorstuwxhABCDOTÉé,.!?;:-"
+    vocab = {x: i for i, x in enumerate(y for c in letters for y in (c, c + "</w>"))}
+    vocab |= {"<unk>": len(vocab)}
+    model = {"type": "BPE", "vocab": vocab, "merges": [], "end_of_word_suffix": "</w>", "unk_token": "<unk>", "dropout": None,
+             "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    lower = {"type": "Lowercase"}
+    for normalizer, pre in itertools.product((None, lower), ("Whitespace", "WhitespaceSplit")):
+        data = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": normalizer,
+                "pre_tokenizer": {"type": pre}, "post_processor": None, "decoder": None, "model": model}
+        t = tokenizers.Tokenizer.from_str(json.dumps(data))
+        e = tokens.Encoder(t, 2)
+        assert (e.by_word, e.folds) == (pre == "Whitespace", normalizer is not None)
+        texts = ["One Two, three. ÉA éa", "", "A", "DO do, Do.", "a-b c;d\ne"]
+        for text, got in zip(texts, e.encode(texts)):
+            assert np.frombuffer(got, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 # ---- 9
 
 
