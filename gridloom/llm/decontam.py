@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,17 +140,14 @@ def apart(docs: DataFrame, keys: list[Column], wanted: DataFrame) -> tuple[DataF
     and the others as (keys, row). A bit map of bounded size tells them apart, so that only the latter have to be
     shuffled for an exact decision; with more keys than it has bits those are all rows."""
     known = docs.sparkSession.sparkContext.broadcast(_bit_map(wanted, wanted.count()))
-    named = docs.select(*keys, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-
-    def split(inside: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = _inside(known.value, np.asarray(batch.column(0)).view(np.uint64))
-                yield batch.filter(pa.array(found == inside))
 
-        return named.mapInArrow(run, named.schema)
+    @F.pandas_udf("boolean")  # Python sees the keys alone, rows stay in the JVM
+    def inside(key: pd.Series) -> pd.Series:
+        return pd.Series(_inside(known.value, key.to_numpy(np.int64).view(np.uint64)))
 
-    return split(False).select("row.*"), split(True)
+    named = docs.select(*keys, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    found = inside(named[named.columns[0]])
+    return named.filter(~found).select("row.*"), named.filter(found)
 
 
 def candidates(w: Words, short: list[int], marks: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int]]:
