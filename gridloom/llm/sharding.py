@@ -22,6 +22,8 @@ from .common import durable, view
 BRICKS = 16384
 #: Rows that one task numbers at a time.
 RUN = 50_000
+#: Slots of one repeated row that a task lists at a time.
+PIECE = 1 << 16
 
 
 def differencing(sizes: Sequence[int], k: int) -> list[int]:
@@ -125,21 +127,31 @@ def shard_documents(
 
 
 def _slots(placed: DataFrame, n_rows: int, n_shards: int) -> DataFrame:
-    """Numbers the rows of each shard from 0: in runs of bounded length, each after the runs before it."""
+    """Numbers the rows of each shard from 0: in runs of bounded length, each after the runs before it. Repeated
+    rows are counted before they meet, so a row that stands often is one row of its run; its slots are listed
+    afterwards, in pieces that different tasks take."""
     runs = max(1, n_rows // (n_shards * RUN))
-    placed = placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "key"), F.lit(runs)).cast("int"))
+    one = ["doc_id", "size", "text_crc32", "key", "shard"]
+    counted = placed.groupBy(*one).agg(F.count("*").alias("n"))
+    counted = counted.withColumn("run", F.pmod(F.xxhash64("doc_id", "key"), F.lit(runs)).cast("int"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("shard", "run")
-        .agg(F.count("*").alias("n"))
-        .select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        counted.groupBy("shard", "run")
+        .agg(F.sum("n").alias("rows"))
+        .select("shard", "run", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     )
-    within = Window.partitionBy("shard", "run").orderBy("doc_id", "key", "size")
-    return (
-        placed.withColumn("at", F.row_number().over(within) - 1)
-        .join(starts, ["shard", "run"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
+    within = Window.partitionBy("shard", "run").orderBy("doc_id", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("start") + F.col("upto") - F.col("n")
+    numbered = counted.withColumn("upto", F.sum("n").over(within)).join(starts, ["shard", "run"])
+    numbered = durable(numbered.select(*one, "n", first.cast("long").alias("first")), "shard-slots")
+    often = numbered.filter(F.col("n") > PIECE)
+    often = often.select(*one, "n", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))).alias("from"))
+    pieces = often.repartition("key", "from").select(
+        *one, F.least(F.col("n") - F.col("from"), F.lit(PIECE).cast("long")).alias("n"), (F.col("first") + F.col("from")).alias("first")
     )
+    listed = numbered.filter(F.col("n") <= PIECE).unionByName(pieces)
+    slot = F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")
+    return listed.select("doc_id", "size", "text_crc32", "shard", slot)
 
 
 def _frame(spark, rows: list[tuple], schema: str) -> DataFrame:

@@ -243,6 +243,21 @@ def test_sharding(docs, corpus, none, bricks):
     assert sharding.shard_documents(none, 8).count() == 0
 
 
+def test_slots_of_a_row_that_stands_often(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 64)
+    monkeypatch.setattr(sharding, "RUN", 20)
+    rows = [(7, "the same", "a")] * 1000 + [(None, None, None)] * 129 + [(i % 90, f"text {i % 45}", "b") for i in range(300)]
+    got = sharding.shard_documents(make(spark, rows), 3).collect()
+    want = Counter((d, zlib.crc32((t or "").encode())) for d, t, _ in rows)
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == want
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == len(rows)
+    again = sharding.shard_documents(make(spark, rows[::-1]).repartition(7), 3).collect()
+    assert Counter(got) == Counter(again)
+
+
 # ---- 4
 
 
