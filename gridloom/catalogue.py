@@ -14,7 +14,7 @@ from .frame import NDFrame
 from .functions import arrays as A
 from .functions import chunking, tape
 from .functions import math as M
-from .operators import conv, elementwise, linalg, reduce, sampling, stencil, views
+from .operators import conv, elementwise, linalg, recurrent, reduce, sampling, stencil, views
 from .plans import einsum as E
 from .sources import arrays as S
 
@@ -38,6 +38,8 @@ def query(sql: str | None = None):
 
 
 def _with_x(sql: str) -> str:
+    if sql.startswith("with recursive "):
+        return f"with recursive {_X}, {sql[15:]}"
     return f"with {_X}, {sql[5:]}" if sql.startswith("with ") else f"with {_X} {sql}"
 
 
@@ -114,7 +116,22 @@ def hex_bytes(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", S.to_hex(F.col("event_type").cast("binary")).alias("hex"))
 
 
-@query()
+@query("select i, j, v from X")
+def deep_copy(spark, sf_dir):
+    return _named(S.deep_copy(_x(spark, sf_dir)), "i", "j", "v")
+
+
+@query("select a // 12 i, a // 4 % 3 j, a % 4 k, a * a v from range(24) t(a)")
+def from_values(spark, sf_dir):
+    return _named(S.from_values(spark, [a * a for a in range(24)], (2, 3, 4), "bigint"), "i", "j", "k", "v")
+
+
+def _unit_sql(seed: int, *key: str) -> str:
+    """SQL of sampling.unit."""
+    return f"('0x' || substr(md5(concat_ws(':', {seed}, {', '.join(key)})), 1, 13))::bigint / 4503599627370496.0::double"
+
+
+@query(f"select i, j, -1 + 2 * ({_unit_sql(7, 'i', 'j')}) v from (select a // 50 i, a % 50 j from range(5000) t(a))")
 def random_tensor(spark, sf_dir):
     return _named(S.random_tensor(spark, 100, 50, low=-1.0, high=1.0, seed=7), "i", "j", "v")
 
@@ -181,7 +198,24 @@ def broadcast_view(spark, sf_dir):
     return _named(views.broadcast_to(x, (3, *x.shape)), "n", "i", "j", "v")
 
 
-@query()
+@query("""with n as (select count(*) n from embeddings) select name, rank, size, contiguous from n, lateral (values
+  ('plain', 2, n * 64, true), ('transposed', 2, n * 64, n = 1), ('rows', 2, n * 32, false), ('reshaped', 3, n * 64, true), ('row', 2, 64, true)
+) t(name, rank, size, contiguous)""")
+def metadata(spark, sf_dir):
+    """Rank, size and contiguity of an array and views of it (every second column as "rows", one row as "row")."""
+    x = _x(spark, sf_dir)
+    seen = {
+        "plain": x, "transposed": views.transpose(x), "rows": views.slice_(x, slice(None), slice(None, None, 2)),
+        "reshaped": views.reshape(x, x.shape[0], 4, 16), "row": views.slice_(x, slice(0, 1)),
+    }
+    rows = [(name, y.rank, y.size, y.is_c_contiguous()) for name, y in seen.items()]
+    return spark.createDataFrame(rows, "name string, rank int, size long, contiguous boolean")
+
+
+_MORTON = " + ".join(f"(((i >> {b}) & 1) << {2 * b}) + (((j >> {b}) & 1) << {2 * b + 1})" for b in range(31))
+
+
+@query(f"select cast({_MORTON} as bigint) as key, i i0, j i1, v from X")
 def morton_order(spark, sf_dir):
     return views.morton_order(_x(spark, sf_dir))
 
@@ -384,6 +418,23 @@ def gemm_relu(spark, sf_dir):
     return _named(linalg.gemm(views.transpose(x), x, epilogue=lambda v: F.greatest(v, F.lit(0).cast("long"))), "p", "q", "v")
 
 
+@query("select a.j p, b.j q, cast(sum(abs(a.v) * (b.v * b.v)) as bigint) v from X a join X b using (i) group by all")
+def gemm_prologue(spark, sf_dir):
+    x = _x(spark, sf_dir)
+    return _named(linalg.gemm(views.transpose(x), x, prologue=(F.abs, lambda v: v * v)), "p", "q", "v")
+
+
+@query("""select n.n as rows, 2 * 64 * 64 * n.n gemm_ops, 2 * 64 * n.n gemm_data, 2 * n.n * 64 * 9 conv_ops, 64 * n.n + 9 conv_data, 9 * 64 workspace
+from (select count(*) n from embeddings) n""")
+def calculators(spark, sf_dir):
+    """Operations and elements of X^T X, and of a padded 3 x 3 convolution of the vectors as 8 x 8 images."""
+    n = _x(spark, sf_dir).shape[0]
+    a, b, image, kernel = (64, n), (n, 64), (n, 1, 8, 8), (1, 1, 3, 3)
+    row = (n, linalg.required_ops(a, b), linalg.required_data(a, b), conv.conv_required_ops(image, kernel, (1, 1)),
+           conv.conv_required_data(image, kernel), conv.im2col_workspace(image, kernel, (1, 1)))
+    return spark.createDataFrame([row], "rows long, gemm_ops long, gemm_data long, conv_ops long, conv_data long, workspace long")
+
+
 def _by_blocks(a: NDFrame, b: NDFrame) -> NDFrame:
     """The product of integer matrices by dense blocks, exact while every sum stays below 2 ** 53."""
     edge = linalg.block_edge(*a.shape, *b.shape)
@@ -424,9 +475,9 @@ _KERNEL3 = [[1, 2, -1], [0, 1, 0], [-2, 1, 3]]
 _K3 = "(values " + ", ".join(f"({h}, {w}, {k})" for h, r in enumerate(_KERNEL3) for w, k in enumerate(r)) + ") k(kh, kw, k)"
 
 
-def _conv_sql(pad: int, stride: int, out: int) -> str:
+def _conv_sql(pad: int, stride: int, out: int, kernel: str = _K3) -> str:
     grid = f"(select n, a oh, b ow from (select distinct i n from X), range({out}) s(a), range({out}) t(b))"
-    hit = f"""(select i n, (j // 8 + {pad} - kh) rh, (j % 8 + {pad} - kw) rw, v * k x from X, {_K3})"""
+    hit = f"""(select i n, (j // 8 + {pad} - kh) rh, (j % 8 + {pad} - kw) rw, v * k x from X, {kernel})"""
     return f"""select n, 0 o, oh, ow, coalesce(cast(sum(x) as bigint), 0) v from {grid} g
 left join (select n, rh // {stride} oh, rw // {stride} ow, x from {hit} where rh >= 0 and rw >= 0 and rh % {stride} = 0 and rw % {stride} = 0) h
 using (n, oh, ow) group by all"""
@@ -457,6 +508,26 @@ def conv2d_im2col(spark, sf_dir):
     return _conv3(spark, sf_dir, 1, 2, conv.conv2d_im2col)
 
 
+@query(_conv_sql(1, 2, 4))
+def conv2d_strips(spark, sf_dir):
+    return _conv3(spark, sf_dir, 1, 2, conv.conv2d_strips)
+
+
+@query(_conv_sql(1, 1, 8))
+def conv2d_shifted(spark, sf_dir):
+    return _conv3(spark, sf_dir, 1, 1, conv.conv2d_shifted)
+
+
+_SOBEL = "(select a kh, b kw, case when a = 1 then 2 else 1 end * (1 - b) k from range(3) s(a), range(3) t(b)) k"
+
+
+@query(_conv_sql(1, 1, 8, _SOBEL))
+def conv2d_separable(spark, sf_dir):
+    column = S.to_tensor(spark, [[[[1], [2], [1]]]], "bigint")
+    row = S.to_tensor(spark, [[[[1, 0, -1]]]], "bigint")
+    return _named(conv.conv2d_separable(_x(spark, sf_dir, 1, 8, 8), column, row, (1, 1)), "n", "o", "oh", "ow", "v")
+
+
 @query(f"""with taps as (select * from {_K3})
 select n, kh * 3 + kw r, oh * 8 + ow p, coalesce(v, 0) v
 from (select distinct i n from X), taps, range(8) a(oh), range(8) b(ow)
@@ -582,12 +653,38 @@ def draw_and_remove(spark, sf_dir):
     return _named(left, "i", "j", "v")
 
 
-@query()
+def _tree(spark, sf_dir) -> sampling.WeightTree:
+    """Weight trees of the vectors' absolute values, with one item changed and one removed in each."""
+    x = _x(spark, sf_dir).map(F.abs)
+    rows = x.df.select("i0").distinct()
+    changes = rows.select("i0", F.explode(F.array(F.struct((F.col("i0") % 64).alias("i1"), F.lit(5000).alias("w")),
+                                                  F.struct(((F.col("i0") + 7) % 64).alias("i1"), F.lit(0).alias("w")))).alias("c"))
+    return sampling.weight_tree(x).update(changes.select("i0", "c.i1", "c.w"))
+
+
+_CHANGED = "w as (select i, j, case when j = i % 64 then 5000 when j = (i + 7) % 64 then 0 else abs(v) end v from X)"
+
+
+@query(f"with {_CHANGED} select i, j, cast(v as bigint) v from w")
+def weight_tree_update(spark, sf_dir):
+    return _named(_tree(spark, sf_dir).weights(), "i", "j", "v")
+
+
+@query(f"""with {_CHANGED}, c as (select i, j, sum(v) over (partition by i order by j) cdf, sum(v) over (partition by i) total from w)
+select i, t, min(j) j from c, range(20) u(t) where cdf > t / 20.0::double * total group by i, t""")
+def weight_tree_draw(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    u = tree.df.select("i0", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("t")).withColumn("u", F.col("t") / 20.0)
+    return tree.draw(u).select(F.col("i0").alias("i"), "t", F.col("i1").alias("j"))
+
+
+@query(f"select * from part where p_retailprice > 0 order by -ln(1 - {_unit_sql(0, 'p_partkey')}) / p_retailprice, p_partkey limit 100")
 def reservoir(spark, sf_dir):
     return sampling.reservoir(_table(spark, sf_dir, "part"), 100, "p_partkey", F.col("p_retailprice"))
 
 
-@query()
+@query(f"""with c as (select i, j, sum(abs(v)) over (partition by i order by j) cdf, sum(abs(v)) over (partition by i) total from X)
+select i, min(j) j from c where cdf > ({_unit_sql(3, 'i')}) * total group by i""")
 def draw_seeded(spark, sf_dir):
     return _named(sampling.draw_seeded(_x(spark, sf_dir).map(F.abs), 3), "i", "j")
 
@@ -619,10 +716,59 @@ def jacobi_4_steps(spark, sf_dir):
     return _jacobi(spark, sf_dir, 4)
 
 
-@query()
+#: One interior cell after the other, ten times; p is the cell's position from 1.
+_SWEEPS = """with recursive r(n, k, g) as (select i, 0, list(v / 1024.0::double order by j) from X group by i union all
+  select n, k + 1, g[1:p - 1] || [0.25 * (g[p - 8] + g[p + 8] + g[p - 1] + g[p + 1])] || g[p + 1:64]
+  from (select n, k, g, 10 + k % 36 // 6 * 8 + k % 6 p from r where k < 360))
+select n, (t - 1) // 8 i, (t - 1) % 8 j, round(g[t], 9) v from r, range(1, 65) u(t) where k = 360"""
+
+
+@query(_SWEEPS)
 def gauss_seidel(spark, sf_dir):
     g = _x(spark, sf_dir, 8, 8).map(lambda v: v / float(SCALE))
-    return _named(stencil.gauss_seidel(g, 10), "n", "i", "j", "v")
+    return _named(stencil.gauss_seidel(g, 10).map(lambda v: F.round(v, 9)), "n", "i", "j", "v")
+
+
+# ---- recurrent cells: the vectors as eight steps of eight features, two units
+
+
+def _gate(seed: int) -> recurrent.Gate:
+    weight = lambda a, b: ((a * 5 + b * 3 + seed) % 7 - 3) / 8
+    return recurrent.Gate([[weight(a, b) for b in range(8)] for a in range(2)], [[weight(a, b + 8) for b in range(2)] for a in range(2)], [0.125, -0.25])
+
+
+def _gate_sql(gate: recurrent.Gate, unit: int, t: int, *h: str) -> str:
+    terms = [f"{w} * e[{8 * t + k + 1}]" for k, w in enumerate(gate.w[unit])] + [f"{u} * {x}" for u, x in zip(gate.u[unit], h)]
+    return f"({' + '.join(terms)} + {gate.b[unit]})"
+
+
+def _steps_sql(step: Callable[[int], str]) -> str:
+    """SQL of eight steps from zero states a, b."""
+    out = "with s0 as (select vec_id, list_transform(embedding, lambda f: f::double) e, 0.0::double a, 0.0::double b from embeddings)"
+    return out + "".join(f", s{t + 1} as ({step(t)})" for t in range(8)) + " select vec_id, round(a, 9) a, round(b, 9) b from s8"
+
+
+def _states(spark, sf_dir, cell: Callable) -> DataFrame:
+    last = cell(recurrent.windows("embedding", 8))
+    out = _table(spark, sf_dir, "embeddings").select("vec_id", last.alias("h"))
+    return out.select("vec_id", *(F.round(F.get("h", F.lit(k)), 9).alias(c) for k, c in enumerate("ab")))
+
+
+@query(_steps_sql(lambda t: f"select vec_id, e, tanh{_gate_sql(_gate(0), 0, t, 'a', 'b')} a, tanh{_gate_sql(_gate(0), 1, t, 'a', 'b')} b from s{t}"))
+def rnn_last(spark, sf_dir):
+    return _states(spark, sf_dir, lambda seq: recurrent.rnn(seq, _gate(0)))
+
+
+def _gru_sql(t: int) -> str:
+    gates = ", ".join(f"1 / (1 + exp(-{_gate_sql(_gate(g), k, t, 'a', 'b')})) {n}{k}" for g, n in ((1, "z"), (2, "r")) for k in (0, 1))
+    new = [f"tanh{_gate_sql(_gate(4), k, t, '(r0 * a)', '(r1 * b)')}" for k in (0, 1)]
+    mixed = ", ".join(f"z{k} * {h} + (1 - z{k}) * {new[k]} {h}" for k, h in enumerate("ab"))
+    return f"select vec_id, e, {mixed} from (select vec_id, e, a, b, {gates} from s{t})"
+
+
+@query(_steps_sql(_gru_sql))
+def gru_last(spark, sf_dir):
+    return _states(spark, sf_dir, lambda seq: recurrent.gru(seq, _gate(1), _gate(2), _gate(4)))
 
 
 # ---- index notation
@@ -652,6 +798,34 @@ def einsum_trace(spark, sf_dir):
     return _named(E.einsum("nii->n", _x(spark, sf_dir, 8, 8)), "i", "v")
 
 
+@query("select a.i i, a.j j, case when a.v = b.v then 0 else a.v - b.v end v from X a join (select j, max(v) v from X group by j) b using (j)")
+def einsum_select(spark, sf_dir):
+    """0 where a cell is the largest of its column, else how far it is below."""
+    x = _x(spark, sf_dir)
+    top = reduce.reduce_axes(x, [0], "max")
+    a, m = E.Fn(x, "a")["i", "j"], E.Fn(top, "m")["j"]
+    return _named(E.assign(("i", "j"), E.Select(a.eq(m), E.node(0), a - m)).cast("bigint"), "i", "j", "v")
+
+
+@query("select i, j, round(ln(abs(v) + 1) * 2 + exp(v / 4096.0::double), 9) v from X")
+def einsum_functions(spark, sf_dir):
+    """The expression that a function on symbols builds: ln(a) * 2 + exp(b)."""
+    x = _x(spark, sf_dir)
+    f = lambda a, b: E.fma(E.ln(a["i", "j"]), E.node(2), E.exp(b["i", "j"]))
+    e = E.generate(f, x.map(lambda v: F.abs(v) + 1), x.map(lambda v: v / 4096.0))
+    return _named(E.assign(("i", "j"), e).map(lambda v: F.round(v, 9)), "i", "j", "v")
+
+
+@query("select * from (values ('sum', '((x0[i, k] * x1[k, j]) + 3)', 2, 2), ('call', 'log(x0[i, j])', 2, 1)) t(name, expression, rank, operands)")
+def expression_text(spark, sf_dir):
+    """How expressions print, with the letters and operands that the planner finds in them."""
+    x = S.new_tensor(spark, 2, 2)
+    made = {"sum": E.generate(lambda a, b: a["i", "k"] * b["k", "j"] + 3, x, x), "call": E.generate(lambda a: E.ln(a["i", "j"]), x)}
+    left = ("i", "j")
+    rows = [(n, repr(e), E.assign(left, e).rank, len(E._leaves(e))) for n, e in made.items()]
+    return spark.createDataFrame(rows, "name string, expression string, rank int, operands int")
+
+
 # ---- integers, metadata, programs
 
 

@@ -127,5 +127,65 @@ def conv2d_im2col(image: NDFrame, kernel: NDFrame, padding="valid", stride: Pair
     return NDFrame(df, (n, o, oh, ow))
 
 
+def _dot(cells: str, weights: str, kind: str):
+    """The sum over cells (at, v) of v times the weight at at."""
+    return F.aggregate(cells, F.lit(0).cast(kind), lambda s, c: (s + c["v"] * F.get(weights, c["at"])).cast(kind))
+
+
+def _kind(image: NDFrame, kernel: NDFrame) -> str:
+    return "bigint" if {image.dtype, kernel.dtype} <= {"tinyint", "smallint", "int", "bigint"} else "double"
+
+
+def conv2d_strips(image: NDFrame, kernel: NDFrame, padding="valid", stride: Pair = (1, 1)) -> NDFrame:
+    """The convolution with images lowered along their width alone: a pixel is copied kw times, not kh * kw times as by
+    :func:`im2col`. What a window holds of one image row is an array; it meets the kernel rows that fall on it, and
+    the products are added up by output cell."""
+    n, o, oh, ow = conv_out_shape(image.shape, kernel.shape, padding, stride)
+    _, _, kh, kw = kernel.shape
+    (top, _), (left, _) = paddings(padding, kernel.shape)
+    wide = image.df.select("i0", "i1", "i2", "i3", "v", F.explode(F.array(*map(F.lit, range(kw)))).alias("kw"))
+    wide = wide.withColumn("rw", F.col("i3") + left - F.col("kw")).filter(f"rw >= 0 and rw % {stride[1]} = 0")
+    cell = F.struct((F.col("i1") * kw + F.col("kw")).cast("int").alias("at"), "v")
+    strips = wide.groupBy("i0", "i2", F.expr(f"rw div {stride[1]}").alias("ow")).agg(F.collect_list(cell).alias("strip")).filter(F.col("ow") < ow)
+    rows = F.sort_array(F.collect_list(F.struct("i1", "i3", "v")))
+    rows = kernel.dense().df.groupBy(F.col("i0").alias("o"), F.col("i2").cast("int").alias("kh")).agg(F.transform(rows, lambda r: r["v"]).alias("k"))
+    met = strips.withColumn("kh", F.explode(F.array(*map(F.lit, range(kh))))).withColumn("rh", F.col("i2") + top - F.col("kh"))
+    met = met.filter(f"rh >= 0 and rh % {stride[0]} = 0").withColumn("oh", F.expr(f"rh div {stride[0]}")).filter(F.col("oh") < oh)
+    met = met.join(_hint(kernel, rows), "kh").select("i0", "o", "oh", "ow", _dot("strip", "k", _kind(image, kernel)).alias("x"))
+    out = met.groupBy("i0", F.col("o").alias("i1"), F.col("oh").alias("i2"), F.col("ow").alias("i3")).agg(F.sum("x").alias("v"))
+    return NDFrame(out, (n, o, oh, ow), sparse=True).dense()
+
+
+def conv2d_shifted(image: NDFrame, kernel: NDFrame, padding="valid", stride: Pair = (1, 1)) -> NDFrame:
+    """The convolution as one pointwise product for each tap of the kernel, shifted and added: a pixel's channels are an
+    array that meets the taps' arrays, so nothing is lowered."""
+    n, o, oh, ow = conv_out_shape(image.shape, kernel.shape, padding, stride)
+    (top, _), (left, _) = paddings(padding, kernel.shape)
+    cell = F.struct(F.col("i1").cast("int").alias("at"), "v")
+    pixels = image.df.groupBy("i0", "i2", "i3").agg(F.collect_list(cell).alias("pixel"))
+    taps = F.sort_array(F.collect_list(F.struct("i1", "v")))
+    taps = kernel.dense().df.groupBy(F.col("i0").alias("o"), F.col("i2").alias("kh"), F.col("i3").alias("kw")).agg(F.transform(taps, lambda r: r["v"]).alias("k"))
+    taps = taps.groupBy("kh", "kw").agg(F.collect_list(F.struct("o", "k")).alias("maps"))
+    each = F.array(*(F.struct(F.lit(y).alias("kh"), F.lit(x).alias("kw")) for y in range(kernel.shape[2]) for x in range(kernel.shape[3])))
+    met = pixels.withColumn("t", F.explode(each)).select(
+        "i0", "pixel", "t.kh", "t.kw", (F.col("i2") + top - F.col("t.kh")).alias("rh"), (F.col("i3") + left - F.col("t.kw")).alias("rw")
+    )
+    met = met.filter(f"rh >= 0 and rw >= 0 and rh % {stride[0]} = 0 and rw % {stride[1]} = 0")
+    met = met.withColumn("oh", F.expr(f"rh div {stride[0]}")).withColumn("ow", F.expr(f"rw div {stride[1]}"))
+    met = met.filter((F.col("oh") < oh) & (F.col("ow") < ow)).join(_hint(kernel, taps), ["kh", "kw"])
+    met = met.select("i0", "oh", "ow", "pixel", F.explode("maps").alias("m")).select("i0", "oh", "ow", "pixel", "m.o", "m.k")
+    met = met.select("i0", "o", "oh", "ow", _dot("pixel", "k", _kind(image, kernel)).alias("x"))
+    out = met.groupBy("i0", F.col("o").alias("i1"), F.col("oh").alias("i2"), F.col("ow").alias("i3")).agg(F.sum("x").alias("v"))
+    return NDFrame(out, (n, o, oh, ow), sparse=True).dense()
+
+
+def conv2d_separable(image: NDFrame, column: NDFrame, row: NDFrame, padding="valid", stride: Pair = (1, 1)) -> NDFrame:
+    """The convolution, channel by channel, with kernels that are a column (c, 1, kh, 1) times a row (c, 1, 1, kw)."""
+    channels = image.shape[1]
+    down, across = (padding, padding) if isinstance(padding, str) else ((padding[0], 0), (0, padding[1]))
+    half = conv2d(image, column, down, (stride[0], 1), groups=channels)
+    return conv2d(half, row, across, (1, stride[1]), groups=channels)
+
+
 def full_grid(x: NDFrame) -> DataFrame:
     return coordinates(x.spark, x.shape)

@@ -20,8 +20,10 @@ from ..frame import NDFrame
 
 #: Bytes of an operand below which it is broadcast.
 BROADCAST_BYTES = 8 << 20
-#: Products beyond which :func:`matmul` takes blocks.
+#: Products beyond which :func:`gemm` takes blocks for dense matrices of doubles.
 DENSE_OPS = 1 << 27
+#: Blocks to a side of the square of result blocks that is one meeting of rows and columns.
+SPAN = 16
 
 
 def out_shape(a: Sequence[int], b: Sequence[int]) -> tuple[int, int]:
@@ -50,6 +52,12 @@ def _hint(x: NDFrame, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if _small(x) else df
 
 
+def _by_blocks(a: NDFrame, b: NDFrame) -> bool:
+    """Whether A B is a dense product of doubles, large enough for blocks."""
+    dense = not a.sparse and not b.sparse and {a.dtype, b.dtype} <= {"double", "float"}
+    return dense and a.rank == b.rank == 2 and required_ops(a.shape, b.shape) > 2 * DENSE_OPS
+
+
 def gemm(
     a: NDFrame,
     b: NDFrame,
@@ -58,14 +66,18 @@ def gemm(
     c: NDFrame | None = None,
     *,
     batch: int = 0,
+    prologue: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None,
     epilogue: Callable[[Column], Column] | None = None,
 ) -> NDFrame:
     """alpha * A B + beta * C, for each index of the first batch axes, which A and B share (B may lack them).
 
     Dense operands give a dense result. With beta = 0, C isn't read. The sum over an empty index is 0, so then
-    beta * C is what is left. Integer products are BIGINT and raise on overflow. The epilogue runs in the projection
-    after the sum.
+    beta * C is what is left. Integer products are BIGINT and raise on overflow. The prologue's two functions run on the
+    cells of A and B in the projection before they meet, the epilogue in the one after the sum. Large dense products of
+    doubles go by blocks.
     """
+    if prologue is not None:
+        a, b = a.map(prologue[0]), b.map(prologue[1])
     m, n = out_shape(a.shape[batch:], b.shape[b.rank - 2 :])
     shared = batch if b.rank > 2 else 0
     if shared and b.shape[:batch] != a.shape[:batch]:
@@ -78,7 +90,12 @@ def gemm(
         right = F.broadcast(right)
     elif _small(a):
         left = F.broadcast(left)
-    terms = left.join(right, [*keys[:shared], "k"]).groupBy(*keys, "m", "n").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    if not batch and _by_blocks(a, b):
+        edge = block_edge(*a.shape, *b.shape)
+        made = from_blocks(gemm_blocks(to_blocks(a, edge), to_blocks(b, edge)))
+        terms = made.df.select(F.col("i0").alias("m"), F.col("i1").alias("n"), F.col("v").alias("s"))
+    else:
+        terms = left.join(right, [*keys[:shared], "k"]).groupBy(*keys, "m", "n").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     shape = (*a.shape[:batch], m, n)
     sparse = a.sparse or b.sparse or not a.shape[batch + 1]
     at = [*keys, F.col("m").alias(f"i{batch}"), F.col("n").alias(f"i{batch + 1}")]
@@ -158,7 +175,7 @@ def from_blocks(b: Blocks) -> NDFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bi, bj, nr, nc, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for bi, bj, nr, nc, data in _rows(batch):
                 i, j = np.divmod(np.arange(nr * nc), nc)
                 cols = [pa.array(i + bi * edge), pa.array(j + bj * edge), pa.array(np.frombuffer(data))]
                 yield pa.RecordBatch.from_arrays(cols, ["i0", "i1", "v"])
@@ -167,8 +184,9 @@ def from_blocks(b: Blocks) -> NDFrame:
 
 
 def gemm_blocks(a: Blocks, b: Blocks) -> Blocks:
-    """A B of matrices in blocks. Pairs of blocks meet on the contracted block index; each task multiplies its pairs
-    and adds up the products that belong to one block of the result before they are exchanged."""
+    """A B of matrices in blocks. Pairs of blocks meet on the contracted block index and the square of SPAN * SPAN result
+    blocks that they are for, so that a short contracted axis makes tasks enough; each task multiplies its pairs and adds
+    up the products that belong to one block of the result before they are exchanged."""
     if a.edge != b.edge:
         raise ValueError("block edges differ")
     shape = out_shape(a.shape, b.shape)
@@ -177,7 +195,7 @@ def gemm_blocks(a: Blocks, b: Blocks) -> Blocks:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for bi, bj, m, k, n, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            for bi, bj, m, k, n, x, y in _rows(batch):
                 product = np.frombuffer(x).reshape(m, k) @ np.frombuffer(y).reshape(k, n)
                 if (bi, bj) in held:
                     held[bi, bj] += product
@@ -192,7 +210,7 @@ def gemm_blocks(a: Blocks, b: Blocks) -> Blocks:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
         for batch in batches:
-            for bi, bj, nr, nc, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for bi, bj, nr, nc, data in _rows(batch):
                 part = np.frombuffer(data).reshape(nr, nc)
                 if key == (bi, bj):
                     total += part
@@ -205,13 +223,24 @@ def gemm_blocks(a: Blocks, b: Blocks) -> Blocks:
 
     left = a.df.select("bi", F.col("bj").alias("bk"), F.col("nr").alias("m"), F.col("nc").alias("k"), F.col("data").alias("x"))
     right = b.df.select(F.col("bi").alias("bk"), "bj", F.col("nc").alias("n"), F.col("data").alias("y"))
+    on = ["bk"]
     if b.shape[0] * b.shape[1] * 8 <= BROADCAST_BYTES:
         right = F.broadcast(right)
-    pairs = left.join(right, "bk").select("bi", "bj", "m", "k", "n", "x", "y")
+    else:
+        squares = lambda extent: F.explode(F.sequence(F.lit(0), F.lit((extent - 1) // (a.edge * SPAN))))
+        left = left.withColumn("gi", F.expr(f"int(bi div {SPAN})")).withColumn("gj", squares(b.shape[1]))
+        right = right.withColumn("gj", F.expr(f"int(bj div {SPAN})")).withColumn("gi", squares(a.shape[0]))
+        on += ["gi", "gj"]
+    pairs = left.join(right, on).select("bi", "bj", "m", "k", "n", "x", "y")
     parts = pairs.mapInArrow(multiply, kinds).repartition("bi", "bj").sortWithinPartitions("bi", "bj")
     return Blocks(parts.mapInArrow(add, kinds), shape, a.edge)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch; bytes as views of its memory."""
+    return zip(*([x.as_buffer() for x in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns))
+
+
 def _block_batch(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
     keys = list(held)
     cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
@@ -221,12 +250,8 @@ def _block_batch(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
 
 
 def matmul(a: NDFrame, b: NDFrame) -> NDFrame:
-    """A B by the lowering that suits the static shapes: coordinates for sparse, integer or small operands, else blocks."""
-    exact = a.dtype not in ("double", "float") or b.dtype not in ("double", "float")
-    if exact or a.sparse or b.sparse or required_ops(a.shape, b.shape) <= 2 * DENSE_OPS:
-        return gemm(a, b)
-    edge = block_edge(*a.shape, *b.shape)
-    return from_blocks(gemm_blocks(to_blocks(a, edge), to_blocks(b, edge)))
+    """A B of two matrices, by the lowering that suits their static shapes (see :func:`gemm`)."""
+    return gemm(a, b)
 
 
 def chain_order(shapes: Sequence[Sequence[int]]) -> tuple | int:

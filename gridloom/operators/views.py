@@ -134,7 +134,7 @@ def concat(xs: Sequence[NDFrame], axis: int = 0) -> NDFrame:
     return NDFrame(reduce(DataFrame.unionByName, parts), tuple(shape), any(x.sparse for x in xs))
 
 
-def morton_order(x: NDFrame, bits: int = 16) -> DataFrame:
+def morton_order(x: NDFrame, bits: int = 31) -> DataFrame:
     """The cells with their Morton key, range-partitioned by it: neighbours in all axes end up in one file."""
     key = F.lit(0).cast("long")
     for b in range(min(bits, 62 // max(1, x.rank))):

@@ -78,8 +78,10 @@ def from_vectors(df: DataFrame, row: str, vector: str, shape: Sequence[int], sca
 
 
 def random_tensor(spark: SparkSession, *shape: int, low: float = 0.0, high: float = 1.0, seed: int = 0) -> NDFrame:
-    """Uniform values; the same for the same seed and parallelism."""
-    v = F.lit(low) + F.rand(seed) * (high - low)
+    """Uniform values; a cell's value depends on the seed and its indices alone."""
+    from ..operators.sampling import unit
+
+    v = F.lit(low) + unit(seed, *axes(len(shape))) * (high - low)
     return NDFrame(coordinates(spark, shape).withColumn("v", v), shape)
 
 
@@ -133,6 +135,16 @@ def pretty(x: NDFrame) -> str:
     return np.array2string(x.to_numpy())
 
 
+def pretty_images(x: NDFrame) -> str:
+    """Images (n, c, h, w) as text: a block for each image, its channels side by side; for small arrays."""
+    if x.rank != 4:
+        raise ValueError(f"images have rank 4, not {x.rank}")
+    texts = [[[[str(v) for v in row] for row in channel] for channel in image] for image in x.to_numpy()]
+    wide = max((len(v) for image in texts for channel in image for row in channel for v in row), default=0)
+    line = lambda row: " ".join(v.rjust(wide) for v in row)
+    return "\n\n".join("\n".join(" | ".join(map(line, rows)) for rows in zip(*image)) for image in texts)
+
+
 def to_hex(b: Column) -> Column:
     """Bytes as lower-case hex pairs with spaces between."""
     return F.trim(F.regexp_replace(F.lower(F.hex(b)), "(..)", "$1 "))
