@@ -1,15 +1,18 @@
 """Exact top-k search: BM25 over an inverted index in shards, with block-max pruning.
 
 Each task packs its documents into shards of a bounded number of postings, without moving them. Within a shard they
-are ordered by their most frequent term and length, so that a block of 64 documents is of one kind. A shard keeps, for
-each term, its postings by document; the stretch of a term's postings that falls into a block is an entry with its
-greatest impact. For a query the entries' maxima, weighted by the global idf, sum to a bound for each block. The
-blocks of greatest bound are scored first, and then those whose bound reaches the k-th best score so far, which a task
-carries from shard to shard: the dynamic pruning of block-max WAND, a block of documents at a time. N, document
+are ordered by their most frequent term and length, so that a block of 64 documents is of one kind. N, document
 frequencies and the average length are those of all documents, so the shards' lists merge exactly.
 
-Terms in a good part of a shard's documents are kept as rows of a matrix; their part of the bounds and of the scores
-is a matrix product over the queries that a task takes together.
+A shard keeps terms in a good part of its documents as rows of a matrix, in single precision, and the postings of the
+others by term. Queries that a task takes together have their rare terms added up for every document, which is exact
+and takes few postings. That, its greatest in a block, and the matrix' greatest impacts in a block sum to a bound for
+each block: the pruning of block-max WAND, a block of documents at a time. For the blocks whose bound reaches the k-th
+best score so far, common terms are one matrix product over the queries. Rounding is bounded, and what it leaves near
+the k-th best is scored again in double precision.
+
+The shards of some partitions (the square root of their number) are searched first, and the k-th best score of each
+query there is what all others start from; so the lists that tasks give hardly grow with the number of tasks.
 
 Queries go in blocks of bounded size, each broadcast and run against all shards. Only terms that occur in some
 query are indexed (a bit map of bounded size tells); terms are known by a 64-bit hash.
@@ -18,6 +21,7 @@ query are indexed (a bit map of bounded size tells); terms are known by a 64-bit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,15 @@ from .decontam import Words, _bit_map, _inside, chunks
 
 K1, B = 1.2, 0.75
 #: Documents in a block; postings in a shard and query terms in a query block, about.
-BLOCK, POSTINGS, QUERY_TERMS = 64, 1 << 22, 1 << 20
-#: Queries that are run together, while their terms have so many postings in a shard; blocks of each that are scored
-#: first; a term in at least 1 of so many documents has a row in the matrix, which has so many cells at most.
-TOGETHER, WORK, FIRST, COMMON, CELLS = 64, 1 << 18, 2, 12, 1 << 21
+BLOCK, POSTINGS, QUERY_TERMS = 64, 1 << 22, 1 << 21
+#: Queries that are run together, while they have so many scores; postings that are gathered at a time; blocks whose
+#: rare terms are looked at for a first bar; a term in at least 1 of so many documents has a row in the matrix, which
+#: has so many cells at most.
+TOGETHER, SCORES, WORK, FIRST, COMMON, CELLS = 128, 1 << 21, 1 << 18, 2, 20, 1 << 23
+#: Documents in a shard, about: many of them have few words, or none.
+DOCUMENTS = 1 << 16
+#: Postings that make a list long.
+LONG = 128
 #: Scores are compared and reported to so many decimals; equal ones go by document id.
 DECIMALS = 6
 _NONE = np.iinfo(np.int64).max
@@ -44,10 +53,10 @@ def _term_counts(w: Words, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndar
     if bits is not None:
         keep = _inside(bits, term)
         text, term = text[keep], term[keep]
-    order = np.lexsort((term, text))
-    text, term = text[order], term[order]
-    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (term[1:] != term[:-1])]) if len(term) else np.zeros(0, np.int64)
-    return text[first], term[first], np.diff(np.r_[first, len(term)])
+    terms, place = np.unique(term, return_inverse=True)
+    key, count = np.unique(text * len(terms) + place, return_counts=True)  # one number for both sorts much faster
+    text, place = np.divmod(key, max(1, len(terms)))
+    return text, terms[place], count
 
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,11 +69,16 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _top_terms(text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-    """The most frequent term of each of n texts, of least hash among equals; 0 if it has none."""
-    order = np.lexsort((term, -count, text))
+    """The most frequent term of each of n texts, of least hash among equals; 0 if it has none. In order of
+    :func:`_term_counts`."""
     out = np.zeros(n, np.uint64)
-    has, first = np.unique(text[order], return_index=True)
-    out[has] = term[order][first]
+    if not len(text):
+        return out
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    most = np.repeat(np.maximum.reduceat(count, first), np.diff(np.r_[first, len(text)]))
+    best = np.flatnonzero(count == most)
+    best = best[np.r_[True, text[best[1:]] != text[best[:-1]]]]
+    out[text[best]] = term[best]
     return out
 
 
@@ -73,26 +87,32 @@ def _shards(batches: Iterator[pa.RecordBatch], bits: np.ndarray, most: int) -> I
     size = n = 0
 
     def shard() -> pa.RecordBatch:
-        ids, lengths, doc, term, count = (np.concatenate(x) for x in zip(*held))
-        kind = np.lexsort((lengths, _top_terms(doc, term, count, len(ids))))  # documents of a kind side by side
+        ids, lengths, tops, doc, term, count = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        kind = np.lexsort((lengths, tops))  # documents of a kind side by side
         ids, lengths, place = ids[kind], lengths[kind], np.argsort(kind)
-        doc = place[doc]
-        order = np.lexsort((doc, term))
-        doc, term, count = doc[order], term[order], count[order]
-        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-        lists = [pa.array([x], pa.list_(pa.int64())) for x in (term[first].view(np.int64), np.diff(np.r_[first, len(term)]))]
-        blobs = [ids.astype("<i8"), lengths.astype("<i8"), doc.astype("<i4"), count.astype("<i4")]
+        terms, inverse = np.unique(term, return_inverse=True)
+        del term
+        freqs = np.bincount(inverse, minlength=len(terms))
+        key = inverse * max(1, len(ids)) + place[doc]
+        del inverse, doc
+        order = np.argsort(key)
+        doc, count = (key[order] % max(1, len(ids))).astype("<i4"), count[order]
+        del key, order
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (terms.view(np.int64), freqs)]
+        blobs = [ids.astype("<i8"), lengths.astype("<i8"), doc, count.astype("<i4")]
         cols = [pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), *lists]
         cols += [pa.array([x.tobytes()], pa.binary()) for x in blobs]
         return pa.RecordBatch.from_arrays(cols, ["n_docs", "n_words", "terms", "freqs", "ids", "lengths", "docs", "counts"])
 
     for ids, w in chunks(batches):
         text, term, count = _term_counts(w, bits)
-        held.append((np.array([_NONE if i is None else i for i in ids], np.int64), w.n, text + n, term, count))
+        named = np.array([_NONE if i is None else i for i in ids], np.int64)
+        held.append((named, w.n, _top_terms(text, term, count, len(ids)), (text + n).astype(np.int32), term, count.astype(np.int32)))
         size, n = size + len(term), n + len(ids)
-        if size >= most:
+        if size >= most or n >= DOCUMENTS:
             yield shard()
-            held, size, n = [], 0, 0
+            size = n = 0
     if held:
         yield shard()
 
@@ -103,92 +123,172 @@ def _expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A shard's postings with their impacts, and its entries."""
+    """A shard's postings with their impacts: of rare terms by term, of common ones as a matrix and by document. Columns
+    are the places of documents, up to a whole number of blocks. With weights, one for each term of the shard, impacts
+    are multiplied by them."""
 
-    def __init__(self, terms, freqs, ids, lengths, docs, counts, mean_length: float, n_shard_docs: int):
+    def __init__(self, terms, freqs, ids, lengths, docs, counts, mean_length: float, n_shard_docs: int, weights: np.ndarray | None = None):
         self.terms = np.asarray(terms, np.int64).view(np.uint64)
         self.ids, lengths = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8")
-        self.docs, tf = np.frombuffer(docs, "<i4"), np.frombuffer(counts, "<i4").astype(float)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / mean_length))
-        slot = np.repeat(np.arange(len(self.terms)), np.asarray(freqs, np.int64))
-        block = self.docs // BLOCK
-        first = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (block[1:] != block[:-1])]) if len(slot) else np.zeros(0, np.int64)
-        self.start, self.length = first, np.diff(np.r_[first, len(slot)])
-        self.block = block[first]
-        self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.entry = np.searchsorted(slot[first], np.arange(len(self.terms) + 1))
+        docs, counts, freqs = np.frombuffer(docs, "<i4"), np.frombuffer(counts, "<i4"), np.asarray(freqs, np.int64)
         self.n_blocks = -(-n_shard_docs // BLOCK)
-        freqs = np.asarray(freqs, np.int64)
+        self.width = self.n_blocks * BLOCK
+        norm = K1 * (1 - B + B * lengths / mean_length)
         common = np.flatnonzero(freqs * COMMON >= n_shard_docs)
         common = common[np.argsort(-freqs[common], kind="stable")][: CELLS // max(1, n_shard_docs)]
         self.row = np.full(len(self.terms), -1)
         self.row[common] = np.arange(len(common))
-        self.rare = np.where(self.row < 0, freqs, 0)
-        row = self.row[slot]
-        self.matrix = np.zeros((len(common), n_shard_docs))
-        self.matrix[row[row >= 0], self.docs[row >= 0]] = self.impact[row >= 0]
-        starts = np.arange(0, n_shard_docs, BLOCK)
-        self.matrix_most = np.maximum.reduceat(self.matrix, starts, axis=1) if n_shard_docs else self.matrix
+        rare = self.row < 0
+
+        def impacts(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(document, impact) of each posting of the terms that of marks."""
+            mine = np.repeat(of, freqs)
+            doc, tf = docs[mine], counts[mine].astype(float)
+            impact = tf * (K1 + 1) / (tf + norm[doc])
+            if weights is not None:
+                impact *= np.repeat(weights[of], freqs[of])
+            return doc, impact
+
+        self.docs, self.impact = impacts(rare)
+        self.freqs = np.where(rare, freqs, 0)
+        self.start = np.cumsum(self.freqs) - self.freqs
+
+        long = np.flatnonzero(self.freqs >= LONG)
+        self.long = np.full(len(self.terms), -1)
+        self.long[long] = np.arange(len(long))
+        ends = zip(self.start[long].tolist(), (self.start + self.freqs)[long].tolist())
+        self.lists = [(self.docs[i:j], self.impact[i:j]) for i, j in ends]
+
+        doc, impact = impacts(~rare)
+        row = np.repeat(self.row[~rare], freqs[~rare])
+        self.matrix = np.zeros((len(common), self.width), np.float32)
+        self.matrix[row, doc] = impact
+        self.matrix_most = self.matrix.reshape(len(common), self.n_blocks, BLOCK).max(axis=2)
+        order = np.argsort(doc.astype(np.uint16) if n_shard_docs <= 1 << 16 else doc, kind="stable")
+        self.doc_row, self.doc_impact = row[order].astype(np.int32), impact[order]
+        self.doc_start = np.searchsorted(doc[order], np.arange(n_shard_docs + 1))
 
     def search(self, slots: np.ndarray, weights: np.ndarray, best: list, k: int) -> tuple[list, int]:
-        """:meth:`search_all` of one query."""
-        found, scored = self.search_all(np.zeros(len(slots), np.int64), slots, weights, [best], k)
-        return found[0], scored
-
-    def search_all(self, query: np.ndarray, slots: np.ndarray, weights: np.ndarray, best: list[list], k: int) -> tuple[list[list], int]:
-        """best of each query, as (-rounded score, id) in order, with the documents of this shard taken in; and how
-        many blocks were scored. Each (query, slot, weight) is a term of a query that the shard has."""
-        n, n_docs, row = len(best), len(self.ids), self.row[slots]
+        """:meth:`search_all` of one query, best and its result as (-rounded score, id) in order."""
+        scores, ids = np.full((1, k), -np.inf), np.full((1, k), _NONE)
+        for i, (s, d) in enumerate(best):
+            scores[0, i], ids[0, i] = -s, d
+        scored = self.search_all(np.zeros(len(slots), np.int64), slots, weights, scores, ids)
+        return [(-s, d) for s, d in zip(scores[0].tolist(), ids[0].tolist()) if s > -np.inf], scored
+
+    def _rare(self, n: int, query: np.ndarray, slots: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
+        """What the rare terms add to the score of each document for each of n queries."""
+        out, bounds = np.empty((n, self.width)), np.searchsorted(query, np.arange(n + 1))
+        long = self.long[slots]
+        spent = np.concatenate([[0], np.cumsum(np.where(long < 0, self.freqs[slots], 0))])
+        q = 0
+        while q < n:
+            to = max(q + 1, int(np.searchsorted(spent[bounds], spent[bounds[q]] + WORK, "right")) - 1)
+            mine = np.arange(bounds[q], bounds[to])
+            few, many = mine[long[mine] < 0], mine[long[mine] >= 0]
+            posting = _expand(self.start[slots[few]], self.freqs[slots[few]])
+            doc, gain = self.docs[posting], self.impact[posting]
+            if weights is not None:
+                gain *= np.repeat(weights[few], self.freqs[slots[few]])
+            ends = (spent[bounds[q : to + 1]] - spent[bounds[q]]).tolist()
+            stops, lists = np.searchsorted(many, bounds[q : to + 1]).tolist(), [self.lists[i] for i in long[many].tolist()]
+            if weights is not None:
+                lists = [(d, g * w) for (d, g), w in zip(lists, weights[many].tolist())]
+            for i in range(to - q):  # long lists are copied as they are, which is faster than to gather their postings
+                docs = [d for d, _ in lists[stops[i] : stops[i + 1]]]
+                gains = [g for _, g in lists[stops[i] : stops[i + 1]]]
+                docs.append(doc[ends[i] : ends[i + 1]])
+                gains.append(gain[ends[i] : ends[i + 1]])
+                out[q + i] = np.bincount(np.concatenate(docs), np.concatenate(gains), self.width)
+            q = to
+        return out
+
+    def _exact(self, partial: np.ndarray, dense: np.ndarray, query: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The scores of the (query, document) pairs, in doubles."""
+        out = partial[query, doc]
+        first = self.doc_start[doc]
+        length = self.doc_start[doc + 1] - first
+        spent = np.concatenate([[0], np.cumsum(length)])
+        i = 0
+        while i < len(doc):
+            to = max(i + 1, int(np.searchsorted(spent, spent[i] + WORK, "right")) - 1)
+            posting, pair = _expand(first[i:to], length[i:to]), np.repeat(np.arange(to - i), length[i:to])
+            gain = dense[query[i:to][pair], self.doc_row[posting]] * self.doc_impact[posting]
+            out[i:to] += np.bincount(pair, gain, to - i)
+            i = to
+        return out
+
+    def search_all(self, query: np.ndarray, slots: np.ndarray, weights: np.ndarray | None, scores: np.ndarray, ids: np.ndarray) -> int:
+        """Takes the documents of this shard into the best of each query, a row of rounded scores and one of ids, in
+        order, -inf where there is none yet; returns for how many (query, block) pairs the bound reached the k-th best.
+        Each (query, slot, weight) is a term of a query that the shard has, by query; no weights are ones."""
+        (n, k), n_docs = scores.shape, len(self.ids)
+        row = self.row[slots]
+        common = row >= 0
+        rare = ~common
+        partial = self._rare(n, query[rare], slots[rare], None if weights is None else weights[rare])
         dense = np.zeros((n, len(self.matrix)))
-        dense[query[row >= 0], row[row >= 0]] = weights[row >= 0]
-        used = np.flatnonzero(dense.any(axis=0))
-        dense, matrix = dense[:, used], self.matrix[used]
-        query, slots, weights = query[row < 0], slots[row < 0], weights[row < 0]
-        count = self.entry[slots + 1] - self.entry[slots]
-        entry, weight, query = _expand(self.entry[slots], count), np.repeat(weights, count), np.repeat(query, count)
-        cell = query * self.n_blocks + self.block[entry]
-        bound = np.bincount(cell, weight * self.most[entry], n * self.n_blocks).reshape(n, -1)
-        bound += dense @ self.matrix_most[used]
-        bound[bound > 0] += 1e-9
-
-        def take(chosen: np.ndarray) -> None:
-            """Scores the chosen (query, block) pairs."""
-            blocks = np.flatnonzero(chosen.any(axis=0))
-            if not len(blocks):
-                return
-            docs = _expand(blocks * BLOCK, np.minimum(BLOCK, n_docs - blocks * BLOCK))
-            keep = chosen.ravel()[cell]
-            e, length = entry[keep], self.length[entry[keep]]
-            posting = _expand(self.start[e], length)
-            at = np.repeat(query[keep], length) * n_docs + self.docs[posting]
-            score = np.bincount(at, np.repeat(weight[keep], length) * self.impact[posting], n * n_docs).reshape(n, -1)[:, docs]
-            if 4 * chosen.sum() > n * len(blocks):  # most pairs are wanted: one product
-                score += dense @ (matrix if len(docs) == n_docs else matrix[:, docs])
-            else:
-                for q in np.flatnonzero(chosen.any(axis=1)):
-                    mine = np.repeat(chosen[q, blocks], np.minimum(BLOCK, n_docs - blocks * BLOCK))
-                    terms = np.flatnonzero(dense[q])
-                    score[q, mine] += dense[q, terms] @ matrix[np.ix_(terms, docs[mine])]
-            score[~np.repeat(chosen[:, blocks], np.minimum(BLOCK, n_docs - blocks * BLOCK), axis=1)] = 0
-            for q in np.flatnonzero(chosen.any(axis=1)):
-                bar = -best[q][-1][0] - 0.5 * 10**-DECIMALS if len(best[q]) == k else 0.0
-                found = np.flatnonzero((score[q] >= bar) & (score[q] > 0))
-                if len(found) > k:
-                    least = np.partition(score[q, found], len(found) - k)[len(found) - k]
-                    found = found[score[q, found] >= least - 2 * 10**-DECIMALS]
-                near = zip((-np.round(score[q, found], DECIMALS)).tolist(), self.ids[docs[found]].tolist())
-                best[q] = sorted([*best[q], *near])[:k]
-
-        best = list(best)
-        order = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
-        first = np.zeros(bound.shape, bool)
-        np.put_along_axis(first, order, True, axis=1)
-        least = lambda: np.array([-b[-1][0] - 0.5 * 10**-DECIMALS if len(b) == k else 0.0 for b in best])[:, None]
-        first &= (bound > 0) & (bound >= least())
-        take(first)
-        rest = ~first & (bound > 0) & (bound >= least())
-        take(rest)
-        return best, int(first.sum() + rest.sum())
+        dense[query[common], row[common]] = 1 if weights is None else weights[common]
+        single = dense.astype(np.float32)
+        #: no sum of single precision is off by more than this part of it: all that is added up is positive
+        off = (np.count_nonzero(dense, axis=1).max(initial=0) + 8) * 2.0**-24
+
+        most = _block_max(partial)
+        bound = most + (1 + off) * (single @ self.matrix_most)
+        tie = 2 * 10**-DECIMALS
+        top = np.argpartition(most, max(0, self.n_blocks - FIRST), axis=1)[:, -FIRST:]
+        near = np.take_along_axis(partial.reshape(n, self.n_blocks, BLOCK), top[:, :, None], axis=1).reshape(n, -1)
+        bar = np.maximum(scores[:, -1], np.maximum(_kth(most, k), _kth(near, k))) - tie
+        chosen = (bound > 0) & (bound * (1 + off) >= bar[:, None])
+        blocks = np.flatnonzero(chosen.any(axis=0))
+        if not len(blocks):
+            return 0
+        if 4 * len(blocks) > 3 * self.n_blocks:
+            place, score = np.arange(self.width), single @ self.matrix
+            score += partial
+        else:
+            used = np.flatnonzero(single.any(axis=0))
+            place = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            cube = self.matrix.reshape(-1, self.n_blocks, BLOCK)
+            score = single[:, used] @ cube[np.ix_(used, blocks)].reshape(len(used), -1)
+            score += partial.reshape(n, self.n_blocks, BLOCK)[:, blocks].reshape(n, -1)
+        most = _block_max(score)
+        bar = np.maximum(bar, (1 - 2 * off) * _kth(most if most.shape[1] >= k else score, k) - tie)
+        bar = (np.where(bar > 0, bar * (1 - off), 0)).astype(np.float32)
+        bar = np.nextafter(bar, np.float32(0))
+        found = np.flatnonzero((score >= bar[:, None]) & (score > 0))
+        q, doc, value = found // score.shape[1], found % score.shape[1], score.ravel()[found]
+        order = np.lexsort((-value, q))  # blocks have several of the best: now that there are few, the k-th of all
+        first = np.searchsorted(q, np.arange(n + 1))
+        full = np.flatnonzero(np.diff(first) >= k)
+        bar[full] = (1 - 4 * off) * value[order][first[full] + k - 1] - tie
+        keep = value >= bar[q]
+        q, doc = q[keep], place[doc[keep]]
+        value = np.round(self._exact(partial, dense, q, doc), DECIMALS)
+        keep = value >= scores[q, -1]
+        q, doc, value = q[keep], doc[keep], value[keep]
+        q, value = np.concatenate([np.repeat(np.arange(n), k), q]), np.concatenate([scores.ravel(), value])
+        names = np.concatenate([ids.ravel(), self.ids[doc]])
+        order = np.lexsort((names, -value, q))
+        first = np.searchsorted(q[order], np.arange(n))
+        order = order[first[:, None] + np.arange(k)]
+        scores[:], ids[:] = value[order], names[order]
+        return int(chosen.sum())
+
+
+def _block_max(x: np.ndarray) -> np.ndarray:
+    """The greatest of each BLOCK columns."""
+    x = x.reshape(len(x), -1, BLOCK)
+    while x.shape[2] > 1:  # by halves: far faster than a reduction along a short axis
+        half = x.shape[2] // 2
+        x = np.maximum(x[:, :, :half], x[:, :, half:])
+    return x[:, :, 0]
+
+
+def _kth(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest of each row, -inf if there are fewer."""
+    n = x.shape[1]
+    return np.partition(x, n - k, axis=1)[:, n - k].astype(float) if n >= k else np.full(len(x), -np.inf)
 
 
 def search(
@@ -224,9 +324,15 @@ def search(
         view(docs, id=docs[id_col].cast("long"), text=docs[text_col].cast("binary")).mapInArrow(
             build,
             "n_docs long, n_words long, terms array<long>, freqs array<long>, ids binary, lengths binary, docs binary, counts binary",
-        ),
+        ).withColumn("part", F.spark_partition_id()),
         "shards",
     )
+    parts = sorted(r["part"] for r in shards.select("part").distinct().collect())
+    first_parts = parts[:: isqrt(len(parts)) or 1]
+    first_shards, other_shards = shards, None
+    if len(first_parts) < len(parts):
+        chosen = F.col("part").isin(first_parts)
+        first_shards, other_shards = durable(shards.filter(chosen), "first-shards"), shards.filter(~chosen)
     n_docs, n_words = shards.agg(F.sum("n_docs"), F.sum("n_words")).first()
     n_docs, mean = n_docs or 0, max(1.0, (n_words or 0) / max(1, n_docs or 0))
 
@@ -256,43 +362,59 @@ def search(
         if not table.num_rows:
             continue
         flat = lambda name: table[name].combine_chunks()  # noqa: B023, E731
+        terms, first, place = np.unique(np.asarray(flat("term").values).view(np.uint64), return_index=True, return_inverse=True)
         known = spark.sparkContext.broadcast(
             (
                 np.asarray(flat("row")),
                 np.asarray(flat("query_id")),
                 np.asarray(flat("term").offsets),
-                np.asarray(flat("term").values).view(np.uint64),
-                np.asarray(flat("idf").values),
+                place.astype(np.int32),
+                terms,
+                np.asarray(flat("idf").values)[first],
             )
         )
 
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            rows, ids, bounds, terms, weights = known.value
-            best: list[list] = [[] for _ in rows]
+        def run(batches: Iterator[pa.RecordBatch], known=known, least=None) -> Iterator[pa.RecordBatch]:
+            rows, ids, bounds, place, terms, idf = known.value
+            floor = np.full(len(rows), -np.inf) if least is None else least.value
+            scores, found = np.repeat(floor[:, None], k, axis=1), np.full((len(rows), k), _NONE)
             for batch in batches:
-                for x in batch.to_pylist():
-                    shard = Shard(*(x[c] for c in ("terms", "freqs", "ids", "lengths", "docs", "counts")), mean, x["n_docs"])
-                    if not len(shard.terms):
+                for i in range(batch.num_rows):
+                    held, freqs = (batch[c][i].values.to_numpy() for c in ("terms", "freqs"))
+                    if not len(held):
                         continue
-                    slot = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
-                    there = shard.terms[slot] == terms
-                    spent = np.concatenate([[0], np.cumsum(np.where(there, shard.rare[slot], 0))])[bounds]
-                    q = to = 0
-                    while q < len(rows):
-                        to = int(np.searchsorted(spent, spent[q] + WORK, "right")) - 1
-                        to = max(q + 1, min(to, q + TOGETHER, len(rows)))
-                        at = np.arange(bounds[q], bounds[to])
-                        at = at[there[at]]
-                        which = np.searchsorted(bounds[q : to + 1], at, "right") - 1
-                        best[q:to], _ = shard.search_all(which, slot[at], weights[at], best[q:to], k)
-                        q = to
-            found = [(int(rows[q]), int(ids[q]), None if d == _NONE else d, -s) for q, b in enumerate(best) for s, d in b]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            cols = [pa.array(c, t) for c, t in zip(zip(*found) if found else ((),) * 4, kinds)]
+                    slot = np.minimum(np.searchsorted(held.view(np.uint64), terms), len(held) - 1)
+                    there = held.view(np.uint64)[slot] == terms
+                    weights = np.zeros(len(held))
+                    weights[slot[there]] = idf[there]
+                    blobs = (batch[c][i].as_buffer() for c in ("ids", "lengths", "docs", "counts"))
+                    shard = Shard(held, freqs, *blobs, mean, batch["n_docs"][i].as_py(), weights)
+                    together = max(1, min(TOGETHER, SCORES // shard.width))
+                    for q in range(0, len(rows), together):
+                        to = min(q + together, len(rows))
+                        mine = place[bounds[q] : bounds[to]]
+                        has = there[mine]
+                        which = np.repeat(np.arange(to - q), np.diff(bounds[q : to + 1]))[has]
+                        shard.search_all(which, slot[mine[has]], None, scores[q:to], found[q:to])
+            q, at = np.nonzero(scores > floor[:, None])
+            docs = found[q, at]
+            cols = [pa.array(rows[q]), pa.array(ids[q]), pa.array(docs, mask=docs == _NONE), pa.array(scores[q, at])]
             yield pa.RecordBatch.from_arrays(cols, ["row", "query_id", "doc_id", "score"])
 
-        part = durable(shards.mapInArrow(run, "row long, query_id long, doc_id long, score double"), "found")
+        result = "row long, query_id long, doc_id long, score double"
+        part = durable(first_shards.mapInArrow(run, result), "found-first")
         out = part if out is None else out.union(part)
+        if other_shards is None:
+            continue
+        kth = part.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"))))
+        kth = kth.filter(F.col("rank") == k).select("row", "score").toArrow()
+        by_row = np.argsort(known.value[0])
+        least = np.full(len(by_row), -np.inf)
+        at = by_row[np.searchsorted(known.value[0][by_row], kth["row"].to_numpy())]
+        least[at] = kth["score"].to_numpy() - 1.5 * 10**-DECIMALS  # below all that tie with it, and no score itself
+        least = spark.sparkContext.broadcast(least)
+        part = other_shards.mapInArrow(lambda b, run=run, least=least: run(b, least=least), result)
+        out = out.union(durable(part, "found"))
     if out is None:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

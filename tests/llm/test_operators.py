@@ -305,6 +305,44 @@ def test_search_prunes_blocks():
     assert [d for _, d in best] == [101, 102, 103] and scored < 10 and rng is not None
 
 
+def test_search_starts_from_scores_of_some_partitions(spark, docs, corpus):
+    want = Counter((r[0], r[1], r[3]) for r in _bm25([(d, t) for d, t, _ in corpus], 5))
+    got = search.search(docs.repartition(16), docs.filter("doc_id % 100 = 0"), 5, postings=300, query_terms=40).collect()
+    assert Counter((r[0], r[1], r[3]) for r in got) == want  # copies tie across partitions, and with the k-th best
+
+
+def test_search_adds_up_few_postings(monkeypatch):
+    rng = np.random.default_rng(0)
+    n, n_queries, k = 4000, 20, 10
+    ranks, shares = (1, 35, 121, 321, 591, 1164, 4149, 14_800), (0.7, 0.3, 0.15, 0.08, 0.05, 0.03, 0.01, 0.003)  # as in prose
+    share = np.exp(np.interp(np.log(np.arange(1, ranks[-1])), np.log(ranks), np.log(shares)))  # of documents, by term
+    lists = [np.flatnonzero(rng.random(n) < s) for s in share]
+    freqs, doc = np.array([len(x) for x in lists]), np.concatenate(lists)
+    tf, lengths = rng.integers(1, 4, len(doc)), np.bincount(doc, minlength=n) * 2
+    blobs = (x.tobytes() for x in (np.arange(n).astype("<i8"), lengths.astype("<i8"), doc.astype("<i4"), tf.astype("<i4")))
+    idf = np.log(1 + (n - freqs + 0.5) / (freqs + 0.5))
+    impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[doc] / lengths.mean())) * np.repeat(idf, freqs)
+    shard = search.Shard(np.arange(len(freqs)), freqs, *blobs, lengths.mean(), n)
+    count, added, plain = np.bincount, 0, 0
+
+    def counted(x, *rest, **more):
+        nonlocal added
+        added += len(x)
+        return count(x, *rest, **more)
+
+    for _ in range(n_queries):
+        slots = np.flatnonzero(rng.random(len(share)) < share)
+        at = search._expand((np.cumsum(freqs) - freqs)[slots], freqs[slots])
+        want = np.round(np.bincount(doc[at], impact[at], n), 6)
+        order = np.lexsort((np.arange(n), -want))[:k]
+        with monkeypatch.context() as m:
+            m.setattr(np, "bincount", counted)
+            best, _ = shard.search(slots, idf[slots], [], k)
+        assert [d for _, d in best] == order.tolist() and np.allclose([-s for s, _ in best], want[order], atol=2e-6)
+        plain += len(at)
+    assert added < 0.2 * plain, (added, plain)
+
+
 # ---- 5
 
 
