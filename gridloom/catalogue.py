@@ -435,6 +435,11 @@ def calculators(spark, sf_dir):
     return spark.createDataFrame([row], "rows long, gemm_ops long, gemm_data long, conv_ops long, conv_data long, workspace long")
 
 
+def _outer(a: NDFrame, b: NDFrame) -> NDFrame:
+    """A B^T of integer matrices, exact while every sum stays below 2 ** 53."""
+    return linalg.gemm_nt(a, b).map(lambda v: v.cast("long"))
+
+
 def _by_blocks(a: NDFrame, b: NDFrame) -> NDFrame:
     """The product of integer matrices by dense blocks, exact while every sum stays below 2 ** 53."""
     edge = linalg.block_edge(*a.shape, *b.shape)
@@ -449,8 +454,8 @@ def gemm_part_supp(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem").filter("l_partkey is not null and l_suppkey is not null")
     top = df.agg(F.max("l_suppkey")).first()[0]
     cells = df.groupBy((F.col("l_partkey") % 500).alias("i0"), F.col("l_suppkey").alias("i1")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
-    m = NDFrame(cells, (500, (top if top is not None else -1) + 1), sparse=True)
-    return _named(_by_blocks(views.transpose(m), m).df.filter("v != 0"), "s", "t", "v")
+    m = views.transpose(NDFrame(cells, (500, (top if top is not None else -1) + 1), sparse=True))
+    return _named(_outer(m, m).df.filter("v != 0"), "s", "t", "v")
 
 
 @query("select a.j p, b.j q, round(cast(sum(a.v * b.v) as double), 3) v from X a join X b using (i) group by all")

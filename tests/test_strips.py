@@ -67,3 +67,14 @@ def test_many_strips_of_uneven_length(spark, monkeypatch):
     a = np.random.default_rng(1).integers(-9, 9, (200, 2))
     x = to_tensor(spark, a.tolist(), "double")
     assert (linalg.gemm_nt(x, x).to_numpy() == a @ a.T).all()
+
+
+def test_gemm_part_supp_exchanges_no_product(spark, tmp_path):
+    lines = [(p, s, 1.0 + (p * s) % 50) for s in (0, 1, *range(2, 1200, 23), 1300) for p in range(s % 37, 2500, 41 + s % 5)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalogue.QUERIES["gemm_part_supp"](spark, str(tmp_path))
+    assert not _exchanged_after(df)
+    m = np.zeros((1301, 500), int)
+    for p, s, q in lines:
+        m[s, p % 500] += int(q)
+    assert _ints(df) == [(*at, int(v)) for at, v in np.ndenumerate(m @ m.T) if v]
