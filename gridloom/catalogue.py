@@ -393,10 +393,15 @@ def gemm_gram(spark, sf_dir):
     return _named(linalg.gemm(views.transpose(x), x), "p", "q", "v")
 
 
+def _outer(a: NDFrame, b: NDFrame) -> NDFrame:
+    """A B^T of integer matrices, exact while every sum stays below 2 ** 53."""
+    return linalg.gemm_nt(a, b).map(lambda v: v.cast("long"))
+
+
 @query("select a.i // 2 p, b.i // 2 q, cast(sum(a.v * b.v) as bigint) v from X a join X b using (j) where a.i % 2 = 0 and b.i % 2 = 0 group by all")
 def gemm_xxt_slice(spark, sf_dir):
     half = views.slice_(_x(spark, sf_dir), slice(None, None, 2))
-    return _named(_by_blocks(half, views.transpose(half)), "p", "q", "v")
+    return _named(_outer(half, half), "p", "q", "v")
 
 
 @query("select p, q, 2 * s + 3 * c.v v from (select a.j p, b.j q, cast(sum(a.v * b.v) as bigint) s from X a join X b using (i) group by all) join (select i p, j q, v from X) c using (p, q)")
@@ -435,18 +440,6 @@ def calculators(spark, sf_dir):
     return spark.createDataFrame([row], "rows long, gemm_ops long, gemm_data long, conv_ops long, conv_data long, workspace long")
 
 
-def _outer(a: NDFrame, b: NDFrame) -> NDFrame:
-    """A B^T of integer matrices, exact while every sum stays below 2 ** 53."""
-    return linalg.gemm_nt(a, b).map(lambda v: v.cast("long"))
-
-
-def _by_blocks(a: NDFrame, b: NDFrame) -> NDFrame:
-    """The product of integer matrices by dense blocks, exact while every sum stays below 2 ** 53."""
-    edge = linalg.block_edge(*a.shape, *b.shape)
-    made = linalg.from_blocks(linalg.gemm_blocks(linalg.to_blocks(a, edge), linalg.to_blocks(b, edge)))
-    return made.map(lambda v: v.cast("long"))
-
-
 @query("""with m as (select l_partkey % 500 p, l_suppkey s, cast(sum(cast(l_quantity as bigint)) as bigint) v from lineitem group by all)
 select a.s s, b.s t, cast(sum(a.v * b.v) as bigint) v from m a join m b using (p) group by all""")
 def gemm_part_supp(spark, sf_dir):

@@ -78,3 +78,10 @@ def test_gemm_part_supp_exchanges_no_product(spark, tmp_path):
     for p, s, q in lines:
         m[s, p % 500] += int(q)
     assert _ints(df) == [(*at, int(v)) for at, v in np.ndenumerate(m @ m.T) if v]
+
+
+def test_gemm_xxt_slice_exchanges_no_product(spark, tmp_path):
+    x = _vectors(spark, tmp_path, range(301))[::2]
+    df = catalogue.QUERIES["gemm_xxt_slice"](spark, str(tmp_path))
+    assert not _exchanged_after(df)
+    assert _ints(df) == [(*at, int(v)) for at, v in np.ndenumerate(x @ x.T)]
